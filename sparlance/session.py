@@ -24,7 +24,10 @@ def build_session(master: str = "local[*]", **conf: object) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
-    } | {k.replace("__", "."): str(v) for k, v in conf.items()}
+    }
+    if master.startswith("local["):
+        settings |= {"spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1"}
+    settings |= {k.replace("__", "."): str(v) for k, v in conf.items()}
     return SparkSession.builder.master(master).appName("sparlance").config(map=settings).getOrCreate()
 
 
