@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from pathlib import Path
 
@@ -28,11 +29,26 @@ def build_session(master: str = "local[*]", **conf: object) -> SparkSession:
     if master.startswith("local["):
         settings |= {"spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1"}
     settings |= {k.replace("__", "."): str(v) for k, v in conf.items()}
-    return SparkSession.builder.master(master).appName("sparlance").config(map=settings).getOrCreate()
+    spark = SparkSession.builder.master(master).appName("sparlance").config(map=settings).getOrCreate()
+    let_workers_import(spark)
+    return spark
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder that holds this package on the path of Python workers that start from now on.
+
+    For workers that see the same folders as the driver, whatever their working directory; elsewhere the
+    package is shipped with --py-files or installed.
+    """
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    let_workers_import(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
