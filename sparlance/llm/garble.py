@@ -76,6 +76,11 @@ def _sequence(values: list[int | None], i: int) -> tuple[str, int] | None:
         return None
 
 
+#: Characters that a sequence may stand for although the corpus has none of them in the clear: Latin letters,
+#: punctuation, currencies, arrows, lines, dingbats, kana and ideographs, wide forms, emoji.
+_COMMON = re.compile("[\u0080-\u024f\u2000-\u206f\u20a0-\u20bf\u2190-\u2bff\u3000-\u30ff\u4e00-\u9fff\uff00-\uffef\U0001f000-\U0001faff]")
+
+
 def _usable(c: str) -> bool:
     return unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") or 0x80 <= ord(c) <= 0x9F
 
@@ -124,7 +129,7 @@ def read_back(word: str, codec: str, counts: dict[str, int], total: int) -> tupl
     known = all(counts.get(c, 0) >= 2 for c in decoded)
     if not known and codec not in LATIN:
         return None
-    if not all(counts.get(c, 0) >= 2 or len(c.encode()) >= 3 or 0x80 <= ord(c) < 0x250 for c in decoded):
+    if not all(counts.get(c, 0) >= 2 or _COMMON.match(c) for c in decoded):
         return None
     return "".join(reversed(out)), sequences, longer, raw - best[n][0]
 
@@ -221,7 +226,7 @@ def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
             pairs = [(k, w) for k, t in zip(pdf.key, pdf.text) for w in words_of(t)]
             yield pd.DataFrame(pairs, columns=["key", "word"])
 
-    odd = docs.where(F.col(text).rlike(r"[^\x00-\x7F]|&#\d{2,6};")).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    odd = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]|&#\d{2,6};")).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return odd.mapInPandas(run, "key long, word string")
 
 
@@ -298,7 +303,8 @@ def garbled_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
 
 def garbled_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key) of the documents with a damaged word. Null and empty texts have none; an empty table gives no row."""
+    """(key) of the documents with a damaged word. Null and empty texts have none, and a row
+    without a key is left out; an empty table gives no row."""
     return garbled_words(docs, key=key, text=text).select(key).distinct()
 
 

@@ -93,7 +93,7 @@ def record_words(records: DataFrame, *, k: int, key: str = "record_key") -> Data
     spoken = F.filter("messages", lambda m: F.lower(trimmed(m["role"])).isin("user", "assistant"))
     text = F.concat_ws("\n", F.transform(spoken, lambda m: F.coalesce(m["content"], F.lit(""))))
     role = F.lower(trimmed(F.col("split_role")))
-    rows = records.where("split_role is not null and messages is not null").select(F.col(key).alias("key"), (role == "train").alias("is_train"), text.alias("text"))
+    rows = records.where(F.col("split_role").isNotNull() & F.col("messages").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), (role == "train").alias("is_train"), text.alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,9 +120,7 @@ def _sketch(classes: DataFrame, k: int) -> np.ndarray:
         for pdf in batches:
             for words in pdf.words:
                 s = np.unique(rolling(np.asarray(words, dtype=np.int64).view(np.uint64), k))
-                count += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH // 8 else 0
-                if len(s) <= SKETCH // 8:
-                    np.add.at(count, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(count, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
         at = np.flatnonzero(count)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": count[at]})
 
@@ -183,7 +181,7 @@ def overlapping_pairs(records: DataFrame, *, similarity: float = 0.7, k: int = 3
     and a record of another role whose sets of k-word shingles have that Jaccard similarity or more.
 
     Roles are trimmed and compared in lower case; rows with a null role or null messages, and
-    rows of fewer than k words, are in no pair. Null contents are empty texts. Copies are
+    rows of fewer than k words or without a key, are in no pair. Null contents are empty texts. Copies are
     compared once, by their class, and listed again in the result. An empty table gives no row.
     """
     rows = cut(record_words(records, k=k, key=key))

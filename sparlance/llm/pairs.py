@@ -39,9 +39,10 @@ def question_of(message: str | None) -> str:
 
 #: Where a statement may start: at the beginning, on a new line, or after a sentence or label.
 _START = re.compile(r"(?:^|[\n:.。：;]|\*/)[\s\"'`(]*(?=(?:select|with)\b(?!\s*[:,.]))", re.I)
-_LINE_START = re.compile(r"^\s*(?:select|with)\b", re.I)
 _WITH = re.compile(r"with\s+(?:recursive\s+)?[\w\"`\[\]]+\s*(?:\([^)]*\)\s*)?as\b", re.I)
-_SELECT_FROM = re.compile(r"select\b(?=[\s\S]*\bfrom\b)", re.I)
+_FROM = re.compile(r"\bfrom\b", re.I)
+#: A sentence that begins with the word select.
+_ASKED = re.compile(r"select\s+(?:the|every|each|an?|any|only|rows|records)\s+(?!from\b|as\b|,)\w+\s+(?!from\b|,)", re.I)
 _TOKEN = re.compile(
     r"(?P<comment>--[^\n]*|/\*[\s\S]*?(?:\*/|$))|(?P<text>'[^']*(?:''[^']*)*(?P<closed>')?|\"[^\"]*\"?|`[^`]*`?|\[[^\]]*\]?)"
     r"|(?P<number>\d+(?:\.\d+)?\w*)|(?P<word>[^\W\d]\w*(?:\.(?:\w+|\*))*\.?)|(?P<op><>|!\s?=|<\s?=|>\s?=|=\s?=|\|\||\.\.\.|…|\S)"
@@ -55,15 +56,16 @@ def split_answer(answer: str) -> tuple[str, str]:
     on one line behind prose it must go on to a FROM.
     """
     text = _FENCE.sub(" ", answer)
+    last_from = max((m.start() for m in _FROM.finditer(text)), default=-1)
     for m in _START.finditer(text):
         rest = text[m.end() :]
         begins = not text[: m.end()].strip(" \t\r\n\"'`(") or "\n" in m.group(0)
         if rest[:4].lower() == "with":
             if not _WITH.match(rest):
                 continue
-        elif not (begins or _SELECT_FROM.match(rest)):
+        elif not (begins or last_from > m.end()):
             continue
-        elif begins and re.match(r"select\s+(?:the|all|every|each|a|an|any|only|rows|records)\s+\w+", rest, re.I) and not re.match(r"select\s+(?:all|distinct)\s+\w+\s*(?:,|from\b)", rest, re.I):
+        elif begins and _ASKED.match(rest):
             continue
         return text[: m.end()], rest
     return text, ""
@@ -335,7 +337,7 @@ def record_pairs(records: DataFrame, *, key: str = "record_key", name: str = "pr
         lambda m, t: F.struct(
             t.alias("turn_index"),
             m["content"].alias("answer"),
-            F.element_at(F.filter(F.slice("messages", 1, m["i"]), lambda x: role(x) == "user")["content"], -1).alias("question"),
+            F.try_element_at(F.filter(F.slice("messages", 1, m["i"]), lambda x: role(x) == "user")["content"], F.lit(-1)).alias("question"),
         ),
     )
     if not name:
@@ -347,7 +349,7 @@ def record_pairs(records: DataFrame, *, key: str = "record_key", name: str = "pr
 def result_pairs(rows: DataFrame, *, key: str = "result_key", name: str = "result_rows") -> DataFrame:
     """(table_name, row_key, turn_index, question, answer): the last user message and the reference statement."""
     users = F.filter("messages", lambda m: F.lower(trimmed(m["role"])) == "user")["content"]
-    return rows.select(F.lit(name).alias("table_name"), F.col(key).alias("row_key"), "turn_index", F.element_at(users, -1).alias("question"), F.col("reference_sql").alias("answer"))
+    return rows.select(F.lit(name).alias("table_name"), F.col(key).alias("row_key"), "turn_index", F.try_element_at(users, F.lit(-1)).alias("question"), F.col("reference_sql").alias("answer"))
 
 
 def flagged(pairs: DataFrame) -> DataFrame:

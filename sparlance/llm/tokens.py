@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,14 +139,15 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = "key long, ids array<int>"
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, leaf)
-        for pdf in batches:
-            yield pd.DataFrame({"key": pdf.key, "ids": [codec.encode(t) for t in pdf.text]})
+        for batch in batches:  # Arrow throughout: a null key must not turn the others into floats
+            ids = pa.array([codec.encode(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
 
     long_text = F.coalesce(F.char_length("text") > spread, F.lit(False))
-    short = rows.where(~long_text).mapInPandas(whole, schema)
-    row = rows.where(long_text).withColumn("row", F.monotonically_increasing_id())
+    short = rows.where(~long_text).mapInArrow(whole, schema)
+    row = rows.where(long_text).select(F.monotonically_increasing_id().alias("row"), F.col("key").cast("string").alias("key"), "text")
     starts = F.sequence(F.lit(0).cast("long"), F.floor((F.char_length("text") - 1) / F.lit(spread)))
     parts = row.select("row", "key", "text", F.explode(starts).alias("part"))
     parts = parts.select("row", "key", "part", F.expr(f"substring(text, int(part * {spread} + 1), {spread})").alias("text"))
@@ -160,7 +162,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
                 out.append((row_, key_, part, [p for p, _ in pieces], [i for _, i in pieces]))
             yield pd.DataFrame(out, columns=["row", "key", "part", "pieces", "ids"])
 
-    done = parts.mapInPandas(leaves, "row long, key long, part long, pieces array<string>, ids array<array<int>>")
+    done = parts.mapInPandas(leaves, "row long, key string, part long, pieces array<string>, ids array<array<int>>")
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
         codec = _codec(shared.value, leaf)
@@ -169,7 +171,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vo
             level = [codec.join(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return pd.DataFrame({"key": [pdf.key.iloc[0]], "ids": [[i for _, ids in level[0] for i in ids]]})
 
-    spread_out = done.groupBy("row").applyInPandas(together, schema)
+    spread_out = done.groupBy("row").applyInPandas(together, "key string, ids array<int>").select(F.col("key").cast("long").alias("key"), "ids")
     return short.unionByName(spread_out).select(F.col("key").alias(key), "ids")
 
 
