@@ -51,7 +51,7 @@ def classify(results: DataFrame) -> DataFrame:
     late = (F.coalesce(F.col("turn_index"), F.lit(0)) > 0) & F.arrays_overlap(found, F.array(*map(F.lit, STRUCTURAL)))
     found = F.concat(found, F.when(late, F.array(F.lit("history_resolution"))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_l", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other"))))
-    best = F.element_at(F.array_intersect(F.array(*map(F.lit, PRIORITY)), "_l"), 1)
+    best = F.get(F.array_intersect(F.array(*map(F.lit, PRIORITY)), "_l"), 0)
     primary = (
         F.when(F.coalesce("value_execution_score", "execution_score") == 1.0, "correct")
         .when(~F.coalesce("syntax_valid", F.lit(True)), "invalid_sql")

@@ -172,7 +172,7 @@ def leaked_reference(turns: DataFrame) -> DataFrame:
 
 def prompt_violations(turns: DataFrame, fields: tuple[str, ...] = ("schema_link_labels", "gold_plan", "gold_metric_dsl")) -> DataFrame:
     """Turns whose prompt does not end with a user message, or names a scorer's field, with the `violation`."""
-    last = F.element_at("messages", -1)
+    last = F.try_element_at("messages", F.lit(-1))
     shown = F.exists("messages", lambda m: F.coalesce(m["content"].rlike("|".join(fields)), F.lit(False)))
     why = F.when(F.size("messages") == 0, "prompt_not_ending_with_user").when(_role(last) != "user", "prompt_not_ending_with_user").when(shown, "scorer_field_in_prompt")
     return turns.withColumn("violation", why).where("violation is not null")

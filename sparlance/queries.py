@@ -281,7 +281,7 @@ def mention_status(spark: SparkSession, base: str) -> DataFrame:
     said = lambda role: F.transform(F.filter(F.slice("messages", 1, F.col("message_index")), lambda m: m["role"] == role), lambda m: F.coalesce(m["content"], F.lit("")))
     v = F.regexp_extract("m.content", "'([^']+)'", 1)
     rows = rows.select("record_key", F.col("message_index").cast("long").alias("message_index"), v.alias("v"), said("user").alias("us"), F.array_join(said("assistant"), " ").alias("prior")).where(r"v rlike '^[\\w ]+$'")
-    now = T.exact_mention(F.element_at("us", -1), F.col("v"))
+    now = T.exact_mention(F.try_element_at("us", F.lit(-1)), F.col("v"))
     past = T.exact_mention(F.array_join(F.slice("us", 1, F.size("us") - 1), " "), F.col("v"))
     status = F.when(now.isNotNull(), "exact_in_current_turn").when(past.isNotNull(), "exact_in_history").when(T.exact_mention(F.col("prior"), F.col("v")).isNotNull(), "carried_from_prior_sql").otherwise("missing_from_user_text")
     return rows.select("record_key", "message_index", status.alias("mention_status"))
@@ -418,10 +418,10 @@ def sql_only_prompts(spark: SparkSession, base: str) -> DataFrame:
 
 @query("SELECT record_key, md5('S') AS system_text, md5(messages[-2].content || chr(10) || chr(10) || 'T') AS last_user FROM prepared_records WHERE messages IS NOT NULL AND messages[-2].role = 'user' AND messages[-2].content IS NOT NULL AND rtrim(messages[-2].content, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) = messages[-2].content AND messages[-1].role = 'assistant'")
 def system_replaced_prompts(spark: SparkSession, base: str) -> DataFrame:
-    last = F.element_at("messages", -2)["content"]
-    r = _records(spark, base).where(F.col("messages").isNotNull() & (F.element_at("messages", -2)["role"] == "user") & last.isNotNull() & (F.regexp_replace(last, r"[ \t\n\r\x0b\f]+$", "") == last) & (F.element_at("messages", -1)["role"] == "assistant"))
+    last = F.try_element_at("messages", F.lit(-2))["content"]
+    r = _records(spark, base).where(F.col("messages").isNotNull() & (F.try_element_at("messages", F.lit(-2))["role"] == "user") & last.isNotNull() & (F.regexp_replace(last, r"[ \t\n\r\x0b\f]+$", "") == last) & (F.try_element_at("messages", F.lit(-1))["role"] == "assistant"))
     m = D.with_system(F.col("messages"), "S", "T")
-    return r.select("record_key", F.md5(F.get(m, 0)["content"]).alias("system_text"), F.md5(F.element_at(m, -2)["content"]).alias("last_user"))
+    return r.select("record_key", F.md5(F.get(m, 0)["content"]).alias("system_text"), F.md5(F.try_element_at(m, F.lit(-2))["content"]).alias("last_user"))
 
 
 @query(f"WITH {_EXPANDED} SELECT record_key, turn_index FROM x WHERE reference_sql <> '' AND contains(array_to_string([m.content FOR m IN messages[1:i - 1] IF m.role IN ('system', 'user')], chr(10)), reference_sql)")
@@ -513,7 +513,7 @@ def canonical_statements(spark: SparkSession, base: str) -> DataFrame:
 @query()
 def structured_briefs(spark: SparkSession, base: str) -> DataFrame:
     r = _results(spark, base)
-    return r.select("result_key", T.structured_brief(F.element_at("messages", -1)["content"], F.col("reference_sql")).alias("brief"))
+    return r.select("result_key", T.structured_brief(F.try_element_at("messages", F.lit(-1))["content"], F.col("reference_sql")).alias("brief"))
 
 
 @query()
