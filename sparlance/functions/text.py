@@ -114,7 +114,7 @@ def quoted_literals(c: Column) -> Column:
 def top_level_parts(c: Column) -> Column:
     """Parts between commas outside parentheses (one level), trimmed, empty ones dropped."""
     parts = F.regexp_extract_all(c, F.lit(r"((?:[^,(]|\([^)]*\))+)"), 1)
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def exact_mention(text: Column, value: Column) -> Column:

@@ -431,6 +431,12 @@ def try_parse(sql: str | None) -> Node | None:
 _SIGNS = {"eq": "=", "neq": "<>", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
 
 
+def _named(s: str) -> str:
+    """A name in lower case, in quotes if it would not be read as one word without."""
+    low = s.lower()
+    return low if re.fullmatch(r"[^\W\d]\w*", low) and low not in RESERVED else '"' + low.replace('"', '""') + '"'
+
+
 def text(n: Node) -> str:
     """Canonical spelling of a node: lower-case words and names, one space, literals as they are."""
     k, c = n.kind, n.children
@@ -441,14 +447,14 @@ def text(n: Node) -> str:
     if k == "null":
         return "null"
     if k == "star":
-        return f"{n.value.lower()}.*" if n.value else "*"
+        return f"{_named(n.value)}.*" if n.value else "*"
     if k == "column":
-        table = str(n.parts["table"]).lower()
-        return f"{table}.{n.value.lower()}" if table else n.value.lower()
+        table = str(n.parts["table"])
+        return f"{_named(table)}.{_named(n.value)}" if table else _named(n.value)
     if k == "call":
         return f"{n.value}({'distinct ' if n.parts.get('distinct') else ''}{', '.join(map(text, c))})"
     if k == "alias":
-        return f"{text(c[0])} as {n.value.lower()}"
+        return f"{text(c[0])} as {_named(n.value)}"
     if k in ("op", "compare"):
         return f"{text(c[0])} {_SIGNS.get(n.value, n.value)} {text(c[1])}"
     if k == "not":
@@ -473,7 +479,7 @@ def text(n: Node) -> str:
     if k == "exists":
         return f"exists{text(c[0])}"
     if k == "subquery":
-        return f"({text(c[0])})" + (f" as {n.value.lower()}" if n.value else "")
+        return f"({text(c[0])})" + (f" as {_named(n.value)}" if n.value else "")
     if k == "case":
         rest, out = list(c), ["case"]
         if n.parts.get("of"):
@@ -483,8 +489,8 @@ def text(n: Node) -> str:
             out.append(f"when {text(rest[i])} then {text(rest[i + 1])}")
         return " ".join([*out, *([f"else {text(last)}"] if last else []), "end"])
     if k == "table":
-        alias = str(n.parts["alias"]).lower()
-        return n.value.lower() + (f" as {alias}" if alias else "")
+        alias = str(n.parts["alias"])
+        return _named(n.value) + (f" as {_named(alias)}" if alias else "")
     if k == "join":
         head = "," if n.value == "," else f" {n.value + ' ' if n.value else ''}join"
         on = f" on {text(n.parts['on'])}" if "on" in n.parts else f" using ({', '.join(x.value.lower() for x in n.parts['using'])})" if "using" in n.parts else ""  # type: ignore[arg-type, union-attr]
@@ -498,7 +504,7 @@ def text(n: Node) -> str:
     if k == "set":
         return f"{text(c[0])} {n.value} {text(c[1])}"
     if k == "cte":
-        return f"{n.value.lower()} as ({text(c[0])})"
+        return f"{_named(n.value)} as ({text(c[0])})"
     if k == "values":
         return f"values {', '.join(map(text, c))}"
     p = n.parts

@@ -15,11 +15,12 @@ TURN_SCHEMA = "dialog_id string, turn_index int, history_length int, generated_s
 STATE_SCHEMA = "roles array<string>, contents array<string>, turn int"
 
 
-def stream_rollout(messages: DataFrame, generate: Callable[[list[dict]], str], idle: str = "30 minutes") -> DataFrame:
+def stream_rollout(messages: DataFrame, generate: Callable[[list[dict]], str], idle: str | None = None) -> DataFrame:
     """Generated-history rollout over a stream of (dialog_id, position, role, content).
 
     The history of a dialog is the state of its group; each assistant slot gives a row and puts the generated
-    statement into the history. Messages of a batch are taken by position. An idle dialog's state is dropped.
+    statement into the history. Messages of a batch are taken by position. With `idle`, the state of a dialog
+    without messages for so long is dropped; the query then runs batches without data too.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -39,10 +40,11 @@ def stream_rollout(messages: DataFrame, generate: Callable[[list[dict]], str], i
             roles.append(m.role)
             contents.append(said)
         state.update((roles, contents, turn))
-        state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame(out, columns=["dialog_id", "turn_index", "history_length", "generated_sql", "syntax_valid"])
 
-    return messages.groupBy("dialog_id").applyInPandasWithState(step, TURN_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("dialog_id").applyInPandasWithState(step, TURN_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
