@@ -102,6 +102,44 @@ def first_turns(turns: DataFrame, n: int, order: tuple[str, ...]) -> DataFrame:
     return turns.orderBy(*order).limit(n)
 
 
+def load_turns(df: DataFrame, *, key: str = "record_key", limit: int | None = None) -> DataFrame:
+    """Turns of a frame that holds either turns (it has reference_sql and turn_index) or whole dialogs.
+
+    The limit counts rows of the former and expanded turns of the latter, in order of (key, turn).
+    """
+    turns = df if {"reference_sql", "turn_index"} <= set(df.columns) else expand_turns(df, key=key)
+    return turns if limit is None else first_turns(turns, limit, (key, "turn_index"))
+
+
+def exactly(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows in that order; ValueError if there are fewer. The count stops at n rows."""
+    chosen = df.orderBy(order).limit(n)
+    if (got := chosen.count()) < n:
+        raise ValueError(f"{got} rows, {n} are needed")
+    return chosen
+
+
+def predictions(turns: DataFrame, generate: Callable[[list[dict]], str], target: str, key: str = "id") -> DataFrame:
+    """(key, text) of a generator for each prompt; the column is predicted_dsl or generated_sql, by target.
+
+    Prompts that show their own reference are refused, with ValueError, before anything is generated.
+    """
+    column = {"metric_dsl": "predicted_dsl", "direct_sql": "generated_sql"}.get(target)
+    if column is None:
+        raise ValueError(f"unknown target {target!r}")
+    if leaked_reference(turns).limit(1).count():
+        raise ValueError("a prompt shows its own reference")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [generate([{"role": m["role"], "content": m["content"]} for m in ms]).strip() for ms in pdf.messages]
+            yield pd.DataFrame({"key": pdf.key, "made": made})
+
+    rows = turns.where("messages is not null").select(F.col(key).cast("string").alias("key"), "messages").mapInPandas(run, "key string, made string")
+    made = F.col("made") if target == "metric_dsl" else T.extract_sql(F.col("made"))
+    return rows.select(F.col("key").alias(key), made.alias(column))
+
+
 def uses_plan_hints(messages: Column, *flags: Column) -> Column:
     """Is a flag set, or does a message show a planning hint? Nulls count as no."""
     shown = F.exists(messages, lambda m: F.coalesce(F.contains(m["content"], F.lit(PLAN_MARKERS[0])) | F.contains(m["content"], F.lit(PLAN_MARKERS[1])), F.lit(False)))

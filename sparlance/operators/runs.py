@@ -89,3 +89,17 @@ def context_gap(local_normal: DataFrame, local_treated: DataFrame, other_normal:
     return j.select((F.col("on") - F.col("ln")).alias("normal_gap"), (F.col("ot") - F.col("lt")).alias("treated_gap"), (F.col("ot") - F.col("lt") - F.col("on") + F.col("ln")).alias("gap_delta"), (F.col("lt") - F.col("ln")).alias("local_delta"), (F.col("ot") - F.col("on")).alias("other_delta"))
 
 
+
+
+def failure_analysis(candidate: DataFrame, baseline: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """Classified runs, their pivots, label summaries and method hints, and the pairwise outcome.
+
+    Both runs must hold the same rows; ValueError if an identity differs in number.
+    """
+    from sparlance.operators import classify, rollups
+
+    if identity_mismatches(candidate, baseline, (key,)).limit(1).count():
+        raise ValueError("the runs hold different rows")
+    c, b = classify.classify(candidate), classify.classify(baseline)
+    both = c.unionByName(b)
+    return {"pivot": rollups.error_pivot(both), "labels": classify.error_summary(both), "hints": classify.method_hints(c), "outcomes": pairwise(c, b, key=key)}

@@ -134,6 +134,27 @@ def metric_scores(spark: SparkSession, base: str) -> DataFrame:
     return spark.createDataFrame(rows, "predicted string, gold string, measure_f1 double, dimension_f1 double, filter_f1 double, measure_preservation double, compiled string")
 
 
+@query()
+def metric_evaluation(spark: SparkSession, base: str) -> DataFrame:
+    """Predictions made from the results' plan labels against their own projection, rolled up."""
+    import json
+
+    r = _results(spark, base).where("gold_plan.parseable")
+    dims = F.array_join(F.transform("gold_plan.projection_shape.group_by", lambda g: F.regexp_replace(F.lower(g), r"[^a-z0-9_]", "_")), ", ")
+    dsl = F.concat(F.when(F.size("gold_plan.projection_shape.aggregations") > 0, "MEASURE(lines)").otherwise("MEASURE(profit)"), F.when(dims != "", F.concat(F.lit(" BY "), dims)).otherwise(""))
+    rows = r.select(F.col("result_key").alias("id"), dsl.alias("predicted_dsl"), F.lit("MEASURE(lines)").alias("gold_dsl"), F.lit(json.dumps(STAR)).alias("semantic_model"))
+    scored = metric.evaluate_rows(rows).withColumn("database_path", F.lit(None).cast("string")).withColumn("execution_score", F.lit(None).cast("double"))
+    return R.metric_rollup(scored)
+
+
+@query()
+def predicted_statements(spark: SparkSession, base: str) -> DataFrame:
+    """Statements of a stand-in generator for the prompts that do not show their reference."""
+    turns = D.load_turns(_results(spark, base), key="result_key")
+    clean = turns.join(D.leaked_reference(turns).select("result_key"), "result_key", "left_anti")
+    return D.predictions(clean, D.echo_last_question, "direct_sql", key="result_key")
+
+
 # ---------------------------------------------------------------- value index and retrieval
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"

@@ -75,3 +75,21 @@ def test_control_arms_and_visibility(spark):
     assert [r["arm"] for r in D.paired_arms(df, "a").collect()] == ["treatment", "control"] and D.paired_arms(df, "z").count() == 0
     shown = D.visible(df, ("fixture",), ("answer", "note"))
     assert shown.columns == ["fixture", "scoring_contract"] and shown.first()[1] == '{"answer":"secret"}'
+
+
+def test_loaders_and_predictions(spark):
+    import pytest
+
+    df = records(spark, ROWS)
+    assert D.load_turns(df, limit=2).count() == 2 and D.load_turns(D.expand_turns(df), limit=1).count() == 1
+    assert D.exactly(df, 2, "record_key").count() == 2
+    with pytest.raises(ValueError):
+        D.exactly(df, 9, "record_key")
+    turns = D.expand_turns(df)
+    got = {r["id"]: r["generated_sql"] for r in D.predictions(turns, lambda ms: f"Sure: SELECT {len(ms)};", "direct_sql").collect()}
+    assert got == {"d:0": "SELECT 2;", "d:1": "SELECT 4;", "prepared-2:0": "SELECT 1;"}
+    with pytest.raises(ValueError):
+        D.predictions(turns, str, "other")
+    leaky = turns.withColumn("reference_sql", F.lit("q1"))
+    with pytest.raises(ValueError):
+        D.predictions(leaky, str, "direct_sql")

@@ -160,3 +160,11 @@ def test_scorers_of_columns_and_values(spark):
     want = spark.createDataFrame([("d", "t", "a", "x")], "dialog_id string, `table` string, `column` string, storage_value string")
     got = C.value_choice(spark.createDataFrame([("d", "SELECT 1 FROM t WHERE a = 'x'"), ("d", "SELECT 1")], "dialog_id string, generated_sql string"), want).orderBy("generated_sql").collect()
     assert [r["value_choice_match"] for r in got] == [False, True]
+
+
+def test_failure_analysis(spark):
+    base, cand = results(spark, [{"id": "1"}, {"id": "2", "value_execution_score": 1.0}]), results(spark, [{"id": "1", "value_execution_score": 1.0, "model_name": "n"}, {"id": "2", "model_name": "n"}])
+    out = P.failure_analysis(cand, base)
+    assert out["pivot"].count() == 2 and {r["outcome"] for r in out["outcomes"].collect()} == {"fixed", "regressed"}
+    with pytest.raises(ValueError):
+        P.failure_analysis(cand.limit(1), base)

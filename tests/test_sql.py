@@ -95,3 +95,8 @@ def test_cubes_and_derived_queries():
     assert derive("SELECT city, sum(age) FROM dog JOIN owner ON dog.owner_id = owner.id GROUP BY city") == ("MEASURE(sum_age) BY city", None)
     assert derive("SELECT count(*) FROM dog") == ("MEASURE(count)", None)
     assert derive("SELECT count(*) FROM dog WHERE id = 1")[1] == "where filter" and derive("SELECT a FROM dog")[1] == "not exactly one aggregate" and derive("SELECT max(age) FROM dog")[1] == "no measure for the aggregate"
+
+
+def test_schema_columns_with_spaces():
+    assert sqlinfo.schema_columns("dog(first name text, id int, *)\nnoise") == {"first name", "dog.first name", "id", "dog.id"}
+    assert sqlinfo.schema_columns(None) == set()
