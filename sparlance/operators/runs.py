@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,11 +70,12 @@ def missing_identity(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 def compare_metrics(treatment: DataFrame, control: DataFrame, names: tuple[str, ...], prefix: str) -> DataFrame:
     """One row: the treatment's metrics, the control's under the prefix, and treatment minus control.
 
-    Both sides are one row; they are joined on a constant.
+    Both sides are one row; they are put under each other and picked apart by side, without a join.
     """
-    c = control.select(F.lit(1).alias("_one"), *[F.col(n).alias(f"{prefix}_{n}") for n in names])
-    t = treatment.withColumn("_one", F.lit(1))
-    return t.join(c, "_one").drop("_one").select("*", *[(F.col(n) - F.col(f"{prefix}_{n}")).alias(f"{n}_delta_vs_{prefix}") for n in names])
+    both = treatment.withColumn("_side", F.lit("t")).unionByName(control.withColumn("_side", F.lit("c")), allowMissingColumns=True)
+    pick = lambda c, side: F.any_value(F.when(F.col("_side") == side, F.col(c)), F.lit(True))
+    one = both.agg(*[pick(c, "t").alias(c) for c in treatment.columns], *[pick(n, "c").alias(f"{prefix}_{n}") for n in names])
+    return one.select("*", *[(F.col(n) - F.col(f"{prefix}_{n}")).alias(f"{n}_delta_vs_{prefix}") for n in names])
 
 
 def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -84,8 +86,9 @@ def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def context_gap(local_normal: DataFrame, local_treated: DataFrame, other_normal: DataFrame, other_treated: DataFrame, metric: str) -> DataFrame:
     """Four one-row frames: the gap between two systems without and with a treatment, and how it moved."""
-    one = lambda df, n: df.select(F.lit(1).alias("_one"), F.col(metric).alias(n))
-    j = one(local_normal, "ln").join(one(local_treated, "lt"), "_one").join(one(other_normal, "on"), "_one").join(one(other_treated, "ot"), "_one")
+    sides = {"ln": local_normal, "lt": local_treated, "on": other_normal, "ot": other_treated}
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("_side"), F.col(metric).alias("_v")) for n, df in sides.items()])
+    j = rows.agg(*[F.max(F.when(F.col("_side") == n, F.col("_v"))).alias(n) for n in sides])
     return j.select((F.col("on") - F.col("ln")).alias("normal_gap"), (F.col("ot") - F.col("lt")).alias("treated_gap"), (F.col("ot") - F.col("lt") - F.col("on") + F.col("ln")).alias("gap_delta"), (F.col("lt") - F.col("ln")).alias("local_delta"), (F.col("ot") - F.col("on")).alias("other_delta"))
 
 
