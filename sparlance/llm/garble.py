@@ -35,6 +35,8 @@ READ = ("latin_1", "cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "koi8_r", "
 EAST = ("cp932", "euc_jp", "gbk", "big5", "euc_kr")
 #: A word is an original for images from this many documents on, and if it is this many times as frequent.
 LEAST, TIMES = 3, 8
+#: For an image of one or two characters, this many times.
+RARER = 100
 
 #: A word: letters and characters beyond ASCII (with entities for such), at least one of these.
 WORD = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f]|&#\d{2,6};)+")
@@ -85,11 +87,12 @@ def _usable(c: str) -> bool:
     return unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs") or 0x80 <= ord(c) <= 0x9F
 
 
-def read_back(word: str, codec: str, counts: dict[str, int], total: int) -> tuple[str, int, int, float] | None:
+def read_back(word: str, codec: str, counts: dict[str, int], total: int) -> tuple[str, int, int, int, float] | None:
     """Cheapest path through the lattice of a word's bytes under one encoding.
 
-    Returns the restored word, the number of sequences decoded and of those of three bytes or
-    more, and the gain in cost over the word as it stands; None if no sequence is decoded.
+    Returns the restored word, the number of sequences decoded, of those of three bytes or more
+    and of characters beyond ASCII left as they stand, and the gain in cost over the word as it
+    stands; None if no sequence is decoded.
     Edges: a character as it stands; a valid sequence, to its character; a sequence of which
     bytes were lost, to a wildcard. Costs are negative log shares of documents with the
     character; a character that only starts or continues a sequence costs more as it stands.
@@ -114,13 +117,14 @@ def read_back(word: str, codec: str, counts: dict[str, int], total: int) -> tupl
             cost = at + price(found[0]) + 0.5
             if cost < best[i + found[1]][0]:
                 best[i + found[1]] = (cost, i, found[0], found[1])
-    out, sequences, longer, at = [], 0, 0, n
+    out, sequences, longer, kept, at = [], 0, 0, 0, n
     decoded = []
     while at > 0:
         _, back, c, width = best[at]
         out.append(c)
         sequences += width > 1
         longer += width > 2
+        kept += width == 0 and ord(c) > 127
         if width > 1:
             decoded.append(c)
         at = back
@@ -131,12 +135,24 @@ def read_back(word: str, codec: str, counts: dict[str, int], total: int) -> tupl
         return None
     if not all(counts.get(c, 0) >= 2 or _COMMON.match(c) for c in decoded):
         return None
-    return "".join(reversed(out)), sequences, longer, raw - best[n][0]
+    return "".join(reversed(out)), sequences, longer, kept, raw - best[n][0]
+
+
+#: Two bytes of the rows in which East Asian sets keep accented letters and lines: signs that stand together in no true text.
+_ROW_8 = re.compile("[\u00a8\u00a9][\u00a1-\u00fe]")
 
 
 def _east(word: str, counts: dict[str, int]) -> tuple[str, str] | None:
     """A word of an East Asian multi-byte encoding that was read byte by byte: the original and the channel."""
     high = sum(ord(c) > 127 for c in word)
+    if high == 2 and (m := _ROW_8.search(word)):
+        for written in ("gbk", "euc_jp", "euc_kr"):
+            try:
+                c = m.group(0).encode("latin_1").decode(written)
+            except UnicodeError:
+                continue
+            if len(c) == 1 and counts.get(c, 0) >= 2 and unicodedata.category(c) in ("Ll", "Lu", "So"):
+                return word.replace(m.group(0), c), f"{written}>latin_1"
     if high < 3 or re.search(r"[぀-ヿ一-鿿가-힯]", word):
         return None
     for read in ("cp1252", "latin_1", "cp1251", "cp1250", "mac_roman"):
@@ -167,12 +183,11 @@ def restore_word(word: str, counts: dict[str, int], total: int, depth: int = 0)
         got = read_back(plain, codec, counts, total)
         if got is None:
             continue
-        text, sequences, longer, gain = got
-        left = sum(ord(c) > 127 for c in plain) - sum(len(c.encode()) for c in text if ord(c) > 127)
-        if codec in LETTERS and (left > 0 or sequences < 2 and not longer) and sequences < 3:
+        text, sequences, longer, kept, gain = got
+        if codec in LETTERS and (kept or sequences < 2 and not longer):
             continue
         if gain > 0 and (best is None or gain > best[0] + 1e-9):
-            best = gain, text, codec, left > 0
+            best = gain, text, codec, kept > 0
     if best and best[3] and (east := _east(plain, counts)):
         return east
     if best:
@@ -197,7 +212,7 @@ def _explained(word: str, restored: str) -> bool:
 def images_of(word: str) -> set[tuple[str, str]]:
     """(image, channel): what a word becomes in each lossy or single-byte channel, if that differs from it."""
     out: dict[str, str] = {}
-    for written in WRITTEN:
+    for written in (*WRITTEN, *EAST):
         try:
             data = word.encode(written)
         except UnicodeEncodeError:
@@ -215,7 +230,7 @@ def images_of(word: str) -> set[tuple[str, str]]:
     out.setdefault("".join(LOST if ord(c) > 127 else c for c in word), "bytes lost")
     out.setdefault(re.sub(r"[^\x00-\x7f]+", LOST, word), "bytes lost")
     out.setdefault("".join(LOST * len(c.encode()) if ord(c) > 127 else c for c in word), "bytes lost")
-    return {(i, c) for i, c in out.items() if i != word and len(i) > 1 and _ODD.search(i)}
+    return {(i, c) for i, c in out.items() if i != word and _ODD.search(i)}
 
 
 def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -273,7 +288,10 @@ def damaged_words(words: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["word", "restored", "times", "channel"])
 
     images = lexicon.where(F.col("n") >= LEAST).mapInPandas(forward, "word string, restored string, times long, channel string")
-    matched = lexicon.join(images, "word").where((F.col("times") >= TIMES * F.col("n")) & ((F.length("word") >= 3) | F.col("word").contains(LOST)))
+    # one or two characters are taken for an image only if they are no word of their own: controls, two signs, letters of few languages
+    w, often = F.col("word"), F.col("times") >= TIMES * F.col("n")
+    short = w.rlike(r"^[\x{80}-\x{9f}\x{400}\x{402}-\x{40f}]$") | w.rlike(r"^[^\x00-\x7F\p{L}]{2}$")
+    matched = lexicon.join(images, "word").where(often & (((F.length("word") >= 3) & w.rlike(f"[^{LOST}]")) | (w.contains(LOST) & w.rlike(f"[^{LOST}]")) | (short & (F.col("times") >= RARER * F.col("n")))))
     by_words = matched.groupBy("word").agg(F.max(F.struct("times", "restored", "channel")).alias("m")).select("word", "m.restored", "m.channel", F.lit(2).alias("sure"))
     both = by_bytes.unionByName(by_words)
     # bytes that are explained to the last one decide; then words known from the corpus; then other bytes
