@@ -97,6 +97,8 @@ def retrieve(turns: DataFrame, index: DataFrame, keys: list[str], *, max_matches
     cols = ["table", "column", "raw_value", "source_frequency"]
     entries = index.select(*db, *cols, F.posexplode("aliases").alias("alias_at", "alias")).withColumn("token", T.normalize_token(F.col("alias")))
     entries = entries.where(~T.prunable_alias(F.col("token"), min_chars) & (F.col("token") != "")).withColumn("words", F.split("token", " "))
+    longest = entries.agg(F.max(F.size("words"))).first()[0] or 1  # runs longer than any alias are of no use
+    max_words = min(max_words, longest)
     entries = entries.withColumn("gram", F.array_join(F.slice("words", 1, max_words), " ")).withColumn("n", F.least(F.size("words"), F.lit(max_words)))
     spoken = turns.select(*keys, *[c for c in db if c not in keys], T.normalize_token(F.col("text")).alias("normal")).withColumn("w", F.split("normal", " "))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))).otherwise(F.array().cast("array<string>"))))
