@@ -6,11 +6,14 @@ multi-byte sequence is an edge to the character it stands for and a lost byte is
 a Viterbi search takes the cheapest path under the corpus's character counts. Forward, the
 corpus's frequent words are sent through each channel, lossy ones too, and their images are
 joined with the words seen; an image is taken for a damaged word if the original is far more
-frequent. Word and character counts are made over all documents.
+frequent, in documents or in distinct passages, or if its passage as a whole reads better as
+the originals than as it stands, in which copies of a passage count once. Word and character
+counts are made over all documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -37,6 +40,9 @@ EAST = ("cp932", "euc_jp", "gbk", "big5", "euc_kr")
 LEAST, TIMES = 3, 8
 #: For an image of one or two characters, this many times.
 RARER = 100
+#: Fixed: a passage is damaged if at least half of its words are images in one channel, and the logs of how much more
+#: frequent the originals are (each up to TIMES), with SHAPE for a fault of form, add up to EVIDENCE.
+EVIDENCE, SHAPE = 4.0, 3.0
 
 #: A word: letters and characters beyond ASCII (with entities for such), at least one of these.
 WORD = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f]|&#\d{2,6};)+")
@@ -50,6 +56,20 @@ def words_of(text: str) -> set[str]:
     return {w for w in WORD.findall(text) if _ODD.search(w)}
 
 
+#: Where one passage ends and the next begins.
+_END = re.compile(r"[\n\r]+|(?<=[.!?;:。！？；])\s+")
+
+
+def passages_of(text: str) -> list[tuple[int, set[str]]]:
+    """(digest, words) of each passage with words beyond ASCII; the same words give the same digest, whatever else it says."""
+    out = {}
+    for passage in _END.split(text):
+        if words := words_of(passage):
+            digest = hashlib.blake2b("\n".join(sorted(words)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            out[int.from_bytes(digest, "big", signed=True)] = words
+    return list(out.items())
+
+
 @lru_cache(maxsize=None)
 def _bytes_of(codec: str) -> dict[str, int]:
     """Byte of each character of a single-byte encoding; bytes it leaves undefined stand for themselves."""
@@ -209,9 +229,34 @@ def _explained(word: str, restored: str) -> bool:
     return 2 * sum(ord(c) > 127 for c in restored) <= sum(ord(c) > 127 for c in _ENTITY.sub("\x80", word))
 
 
+def faults(word: str) -> float:
+    """Faults of form: signs or controls among the letters, two scripts, a capital after a small letter, more accented
+    Latin letters than plain ones; half a fault for capitals alone in another script than Latin."""
+    plain = sum(c.isascii() and c.isalpha() for c in word)
+    beyond = [c for c in word if ord(c) > 127]
+    accented = sum(c.isalpha() and ord(c) <= 0x24F for c in beyond)
+    other = [c for c in beyond if ord(c) > 0x24F and c.isalpha()]
+    letters = plain + accented + len(other)
+    signs = sum(not c.isalpha() and unicodedata.category(c) not in ("Mn", "Mc", "Cf", "Pd", "Pi", "Pf", "Po") or c == LOST or 0x80 <= ord(c) <= 0x9F for c in beyond)
+    return (
+        (letters > 0 and signs > 0)
+        + (plain + accented > 0 and len(other) > 0)
+        + any(x.islower() and y.isupper() for x, y in zip(word, word[1:]) if ord(x) > 127 or ord(y) > 127)
+        + (letters >= 3 and accented > plain + len(other))
+        + 0.5 * (len(other) >= 3 and word.isupper())
+    )
+
+
 def images_of(word: str) -> set[tuple[str, str]]:
-    """(image, channel): what a word becomes in each lossy or single-byte channel, if that differs from it."""
-    out: dict[str, str] = {}
+    """(image, channels): what a word becomes in each lossy or single-byte channel, if that differs from it; channels
+    with the same image are joined by |."""
+    out: dict[str, list[str]] = {}
+
+    def add(image: str, channel: str) -> None:
+        names = out.setdefault(image, [])
+        if channel not in names:
+            names.append(channel)
+
     for written in (*WRITTEN, *EAST):
         try:
             data = word.encode(written)
@@ -222,37 +267,44 @@ def images_of(word: str) -> set[tuple[str, str]]:
                 continue
             seen = data.decode(read, "replace") if read not in ("latin_1",) else data.decode("latin_1")
             if seen != word and LOST not in seen:
-                out.setdefault(seen, f"{written}>{read}")
+                add(seen, f"{written}>{read}")
     data = word.encode("utf-8", "replace")
     bare = "".join(c for c in data.decode("latin_1") if not 0x80 <= ord(c) <= 0x9F)
-    out.setdefault(bare, "utf_8>latin_1 without controls")
-    out.setdefault("".join(c for c in data.decode("cp1252", "ignore") if not 0x80 <= ord(c) <= 0x9F), "utf_8>cp1252 without undefined")
-    out.setdefault("".join(LOST if ord(c) > 127 else c for c in word), "bytes lost")
-    out.setdefault(re.sub(r"[^\x00-\x7f]+", LOST, word), "bytes lost")
-    out.setdefault("".join(LOST * len(c.encode()) if ord(c) > 127 else c for c in word), "bytes lost")
-    return {(i, c) for i, c in out.items() if i != word and _ODD.search(i)}
+    add(bare, "utf_8>latin_1 without controls")
+    add("".join(c for c in data.decode("cp1252", "ignore") if not 0x80 <= ord(c) <= 0x9F), "utf_8>cp1252 without undefined")
+    add("".join(LOST if ord(c) > 127 else c for c in word), "bytes lost")
+    add(re.sub(r"[^\x00-\x7f]+", LOST, word), "bytes lost")
+    add("".join(LOST * len(c.encode("utf-8", "replace")) if ord(c) > 127 else c for c in word), "bytes lost")
+    return {(i, "|".join(c)) for i, c in out.items() if i != word and _ODD.search(i)}
 
 
 def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word): the distinct words beyond ASCII of each document."""
+    """(key, passage, word, first): the distinct words beyond ASCII of each passage; first at one place in each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = [(k, w) for k, t in zip(pdf.key, pdf.text) for w in words_of(t)]
-            yield pd.DataFrame(pairs, columns=["key", "word"])
+            rows = []
+            for k, t in zip(pdf.key, pdf.text):
+                met: set[str] = set()
+                for passage, words in passages_of(t):
+                    rows += [(k, passage, w, w not in met) for w in words]
+                    met |= words
+            yield pd.DataFrame(rows, columns=["key", "passage", "word", "first"])
 
     odd = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]|&#\d{2,6};")).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return odd.mapInPandas(run, "key long, word string")
+    return odd.mapInPandas(run, "key long, passage long, word string, first boolean")
 
 
-def damaged_words(words: DataFrame) -> DataFrame:
-    """(word, restored, channel) of the damaged words among (key, word); restored is null where it stays unknown.
+def damaged_words(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, restored, channel, sure) of the damaged words among (key, passage, word, first), restored being null where
+    it stays unknown; and the same with passage for words that are damaged in that passage.
 
-    Counts are over all documents. Only the counts of single characters are sent to every task:
-    at most one number for each of Unicode's 1.1 million code points.
+    Counts are over all documents, and over the distinct passages. Only the counts of single characters are sent to every
+    task: at most one number for each of Unicode's 1.1 million code points.
     """
     spark = words.sparkSession
-    lexicon = cut(words.groupBy("word").agg(F.count("*").alias("n")))
+    seen = cut(words.groupBy("passage", "word").agg(F.sum(F.col("first").cast("long")).alias("n")))
+    lexicon = cut(seen.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("apart")))
     total = words.select("key").distinct().count()
 
     def chars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,18 +336,43 @@ def damaged_words(words: DataFrame) -> DataFrame:
 
     def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(image, w, n, c) for w, n in zip(pdf.word, pdf.n) for image, c in images_of(w)]
-            yield pd.DataFrame(out, columns=["word", "restored", "times", "channel"])
+            out = [(image, w, n, a, c) for w, n, a in zip(pdf.word, pdf.n, pdf.apart) for image, c in images_of(w)]
+            yield pd.DataFrame(out, columns=["word", "restored", "times", "times_apart", "channels"])
+
+    images = lexicon.where(F.col("n") >= LEAST).mapInPandas(forward, "word string, restored string, times long, times_apart long, channels string")
+
+    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(worse=[float(faults(w) - faults(r)) for w, r in zip(pdf.word, pdf.restored)])
 
-    images = lexicon.where(F.col("n") >= LEAST).mapInPandas(forward, "word string, restored string, times long, channel string")
+    pairs = cut(lexicon.join(images, "word").mapInPandas(shaped, "word string, n long, apart long, restored string, times long, times_apart long, channels string, worse double"))
     # one or two characters are taken for an image only if they are no word of their own: controls, two signs, letters of few languages
-    w, often = F.col("word"), F.col("times") >= TIMES * F.col("n")
+    w = F.col("word")
+    # documents or passages decide for an image of better form only if both do
+    raw, apart, formed = lambda k: F.col("times") >= k * F.col("n"), lambda k: F.col("times_apart") >= k * F.col("apart"), F.col("worse") > -1
+    more = lambda k: ((raw(k) | apart(k)) & formed) | (raw(k) & apart(k))
     short = w.rlike(r"^[\x{80}-\x{9f}\x{400}\x{402}-\x{40f}]$") | w.rlike(r"^[^\x00-\x7F\p{L}]{2}$")
-    matched = lexicon.join(images, "word").where(often & (((F.length("word") >= 3) & w.rlike(f"[^{LOST}]")) | (w.contains(LOST) & w.rlike(f"[^{LOST}]")) | (short & (F.col("times") >= RARER * F.col("n")))))
+    long = ((F.length("word") >= 3) & w.rlike(f"[^{LOST}]")) | (w.contains(LOST) & w.rlike(f"[^{LOST}]"))
+
+    # the passage as a whole: the sum changes its sign with the direction, so an original is never taken for the image of its own damage
+    gain = F.log((F.col("times_apart") + 0.5) / (F.col("apart") + 0.5))
+    score = F.greatest(F.lit(-math.log(TIMES)), F.least(F.lit(math.log(TIMES)), gain)) + SHAPE * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("worse")))
+    spread = pairs.withColumn("score", score).withColumn("channel", F.explode(F.split("channels", r"\|")))
+    best = spread.groupBy("word", "channel").agg(F.max(F.struct("score", "times", "restored")).alias("m")).select("word", "channel", "m.score", "m.restored")
+    size = seen.groupBy("passage").agg(F.count("*").alias("size"))
+    counted = seen.join(best.where(long), "word").groupBy("passage", "channel").agg(F.count("*").alias("k"), F.sum("score").alias("sum"))
+    accepted = counted.where(F.col("sum") >= EVIDENCE).join(size, "passage").where("2 * k >= size")
+    chosen = accepted.groupBy("passage").agg(F.max(F.struct("sum", "k", "channel")).alias("m")).select("passage", "m.channel")
+    here = cut(chosen.join(seen.select("passage", "word"), "passage").join(best, ["word", "channel"]).select("passage", "word", "restored", "channel", F.lit(2).alias("sure")))
+
+    # copies of a damaged passage are no evidence that its original is an image of it
+    opposite = here.select(F.col("restored").alias("word"), F.col("word").alias("restored")).distinct()
+    matched = pairs.join(opposite, ["word", "restored"], "left_anti").where(more(TIMES) & (long | (short & more(RARER)))).withColumn("channel", F.substring_index("channels", "|", 1))
     by_words = matched.groupBy("word").agg(F.max(F.struct("times", "restored", "channel")).alias("m")).select("word", "m.restored", "m.channel", F.lit(2).alias("sure"))
     both = by_bytes.unionByName(by_words)
     # bytes that are explained to the last one decide; then words known from the corpus; then other bytes
-    return both.groupBy("word").agg(F.max(F.struct("sure", "restored", "channel")).alias("m")).select("word", "m.restored", "m.channel")
+    anywhere = both.groupBy("word").agg(F.max(F.struct("sure", "restored", "channel")).alias("m")).select("word", "m.restored", "m.channel", "m.sure")
+    return cut(anywhere), here
 
 
 _RUN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
@@ -317,7 +394,12 @@ def _whole_run(run: str, channels: set[str]) -> str:
 def garbled_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, word, restored, channel): every damaged word of every document."""
     words = cut(_words(docs, key, text))
-    return words.join(cut(damaged_words(words)), "word").select(F.col("key").alias(key), "word", "restored", "channel")
+    anywhere, here = damaged_words(words)
+    places = words.select("key", "passage", "word")
+    columns = ["key", "word", "restored", "channel", "sure"]
+    found = places.join(anywhere, "word").select(*columns).unionByName(places.join(here, ["passage", "word"]).select(*columns))
+    best = found.groupBy("key", "word").agg(F.max(F.struct("sure", "restored", "channel")).alias("m"))
+    return best.select(F.col("key").alias(key), "word", "m.restored", "m.channel")
 
 
 def garbled_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,6 +72,27 @@ def test_double_lost_and_entities(found):
     assert found[2][60_001]["restored_text"] == SENTENCES["de"]
 
 
+COPIED = [("ru", "cp1251", "latin-1"), ("ru", "koi8_r", "latin-1"), ("ru", "koi8_r", "cp1251"), ("pl", "cp1250", "latin-1"), ("tr", "cp1254", "latin-1"), ("el", "cp1253", "latin-1"), ("box", "utf-8", "latin-1")]
+
+
+@pytest.mark.parametrize("lang, written, read", COPIED)
+def test_copies_do_not_outvote_the_original(spark, lang, written, read):
+    """A damaged passage that far more documents carry than the original, as plain copies and in front of other text."""
+    bad = misread(SENTENCES[lang], written, read)
+    if written == "utf-8":
+        bad = "".join(c for c in bad if not 0x80 <= ord(c) <= 0x9F)
+    clean = [(1000 * i + j, f"{s}\nNo {j}") for i, s in enumerate(SENTENCES.values()) for j in range(30)]
+    parts = SENTENCES[lang].split()
+    clean += [(20_000 + j, " ".join(parts[: j % 4] + parts[j % 4 + 1 :])) for j in range(12)]  # in a few other passages
+    copies = [(50_000 + j, bad) for j in range(200)] + [(60_000 + j, f"{bad}\nRow {j}: schöne Grüße, naïve café.") for j in range(200)]
+    df = docs(spark, clean + copies)
+    found = {r["doc_id"] for r in garble.garbled_documents(df).collect()}
+    assert found == {k for k, _ in copies}
+    if lang in ("ru", "el"):
+        texts = {r["restored_text"] for r in garble.restored_documents(docs(spark, clean + copies[:200])).collect()}
+        assert texts == {SENTENCES[lang]}
+
+
 def test_empty_tables(spark):
     assert garble.garbled_documents(docs(spark, [])).count() == 0
     assert garble.restored_documents(docs(spark, [(1, None), (2, "ascii")])).count() == 0
