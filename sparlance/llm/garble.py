@@ -86,6 +86,12 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return table
 
 
+@lru_cache(maxsize=None)
+def _chars_of(codec: str) -> list[str]:
+    """Character of each byte of a single-byte encoding; bytes it leaves undefined stand for themselves."""
+    return [bytes([b]).decode(codec, "ignore") or chr(b) for b in range(256)]
+
+
 def _sequence(values: list[int | None], i: int) -> tuple[str, int] | None:
     """The character that the bytes from i on stand for in UTF-8, and its length; None if they are no sequence."""
     b = values[i]
@@ -269,6 +275,8 @@ def images_of(word: str) -> set[tuple[str, str]]:
             if seen != word and LOST not in seen:
                 add(seen, f"{written}>{read}")
     data = word.encode("utf-8", "replace")
+    for read in LETTERS:  # a single sequence is no evidence by itself there
+        add("".join(_chars_of(read)[b] for b in data), f"utf_8>{read}")
     bare = "".join(c for c in data.decode("latin_1") if not 0x80 <= ord(c) <= 0x9F)
     add(bare, "utf_8>latin_1 without controls")
     add("".join(c for c in data.decode("cp1252", "ignore") if not 0x80 <= ord(c) <= 0x9F), "utf_8>cp1252 without undefined")

@@ -93,6 +93,13 @@ def test_copies_do_not_outvote_the_original(spark, lang, written, read):
         assert texts == {SENTENCES[lang]}
 
 
+@pytest.mark.parametrize("read", ["cp1251", "koi8_r", "cp1253", "cp866"])
+def test_single_sequence_in_code_pages_of_other_scripts(spark, read):
+    bad = "Rows für Kunden".encode().decode(read)
+    df = docs(spark, [(i, f"Zeile {i} für Kunden") for i in range(30)] + [(i, SENTENCES["ru"]) for i in range(100, 130)] + [(900, bad)])
+    assert [(r["doc_id"], r["restored_text"]) for r in garble.restored_documents(df).collect()] == [(900, "Rows für Kunden")]
+
+
 def test_empty_tables(spark):
     assert garble.garbled_documents(docs(spark, [])).count() == 0
     assert garble.restored_documents(docs(spark, [(1, None), (2, "ascii")])).count() == 0
