@@ -49,13 +49,31 @@ _TOKEN = re.compile(
 )
 
 
+_COMMENT = re.compile(r"--[^\n]*|/\*[\s\S]*?(?:\*/|$)")
+
+
+def _end_of(sql: str) -> int:
+    """Where the statements end: behind the first semicolon that prose follows, else at the end of the text."""
+    for m in _TOKEN.finditer(sql):
+        if m.group("op") == ";":
+            words = _WORD.findall(_COMMENT.sub(" ", sql[m.end() :]))
+            if words and words[0].lower() not in _CLAUSES and (len(words) > 1 or not words[0].isascii()):
+                return m.end()
+    return len(sql)
+
+
 def split_answer(answer: str) -> tuple[str, str]:
-    """(prose, sql) of an answer without fence marks; prose has comments too, sql may be empty.
+    """(prose, sql) of an answer without fence marks; prose has comments too, and what follows the SQL; sql may be empty.
 
     A statement starts with SELECT or WITH at the beginning, on a new line or after a sentence;
-    on one line behind prose it must go on to a FROM.
+    on one line behind prose it must go on to a FROM. It ends at the closing mark of its fence,
+    or behind a semicolon that prose follows.
     """
-    text = _FENCE.sub(" ", answer)
+    pieces = _FENCE.split(answer)
+    text, fences, at = " ".join(pieces), [], 0
+    for piece in pieces[:-1]:
+        fences.append(at + len(piece))
+        at += len(piece) + 1
     last_from = max((m.start() for m in _FROM.finditer(text)), default=-1)
     for m in _START.finditer(text):
         rest = text[m.end() :]
@@ -67,7 +85,10 @@ def split_answer(answer: str) -> tuple[str, str]:
             continue
         elif begins and _ASKED.match(rest):
             continue
-        return text[: m.end()], rest
+        opened = sum(f < m.end() for f in fences)
+        end = fences[opened] - m.end() if opened % 2 and opened < len(fences) else len(rest)
+        end = _end_of(rest[:end]) if end == len(rest) else end
+        return text[: m.end()] + ("\n" + rest[end:] if rest[end:].strip() else ""), rest[:end]
     return text, ""
 
 

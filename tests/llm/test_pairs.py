@@ -67,3 +67,14 @@ def test_frames_with_nulls_long_texts_and_empty_tables(spark):
     assert {("prepared_records", 1, 1, "empty"), ("prepared_records", 1, 0, "copy"), ("result_rows", 7, 2, "empty"), ("result_rows", 10, 1, "truncated")} <= got
     assert not any(r[1] in (2, 3, 8) for r in got)
     assert pairs.flagged(pairs.all_pairs(records.limit(0), results.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("sql", ["SELECT name FROM clients WHERE age > 3; ", "```sql\nSELECT name FROM clients WHERE age > 3\n```\n"])
+def test_prose_behind_the_statement_is_read(sql):
+    question = "Which clients are older than three years, and how many of them are there?"
+    german = "Diese Abfrage liefert alle Kunden, die älter als drei Jahre sind, und zeigt nur ihre Namen."
+    english = "This query returns all of the clients that are older than three years, and shows only their names."
+    assert pairs.defects_of(question, sql + german) == ["other_language"]
+    assert pairs.defects_of(question, sql + english) == []
+    assert pairs.defects_of(question, "SELECT name FROM clients; SELECT name FROM") == ["truncated"]
+    assert pairs.defects_of(question, "```sql\nSELECT name FROM\n```\n" + english) == ["truncated"]
