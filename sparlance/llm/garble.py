@@ -2,8 +2,8 @@
 
 A noisy channel: a word was written in one encoding and read in another, perhaps losing bytes
 on the way. Backward, each suspicious word becomes a lattice of bytes, in which every valid
-multi-byte sequence is an edge to the character it stands for and a lost byte is a wildcard;
-a Viterbi search takes the cheapest path under the corpus's character counts. Forward, the
+multi-byte sequence is an edge to the character it stands for; a Viterbi search takes the
+cheapest path under the corpus's character counts. Lost bytes have no edge. Forward, the
 corpus's frequent words are sent through each channel, lossy ones too, and their images are
 joined with the words seen; an image is taken for a damaged word if the original is far more
 frequent, in documents or in distinct passages, or if its passage as a whole reads better as
@@ -119,8 +119,8 @@ def read_back(word: str, codec: str, counts: dict[str, int], total: int) -> tupl
     Returns the restored word, the number of sequences decoded, of those of three bytes or more
     and of characters beyond ASCII left as they stand, and the gain in cost over the word as it
     stands; None if no sequence is decoded.
-    Edges: a character as it stands; a valid sequence, to its character; a sequence of which
-    bytes were lost, to a wildcard. Costs are negative log shares of documents with the
+    Edges: a character as it stands; a valid sequence, to its character. A sequence of which
+    bytes were lost has no edge. Costs are negative log shares of documents with the
     character; a character that only starts or continues a sequence costs more as it stands.
     """
     table = _bytes_of(codec)
