@@ -1,13 +1,21 @@
 """Problem 2: the same or nearly the same records in training and evaluation splits.
 
-Winnowing: a rolling hash runs over the words of a record, and the smallest hash of each
-window of consecutive positions is a fingerprint. Hashes are compared by (how common they
-are, value), so the minima fall on rare wording rather than on boilerplate. Two sets of n
-and m shingles with similarity t or more must share one of the n - ceil(t n) + 1 smallest
-hashes of the first and of the second; records are joined across splits on those minima,
-which makes the search complete. On each candidate pair the window minima that both have
-are chained in order, the chain is extended word by word, and the covered part of either
-record is reported; the similarity of the shingle sets is then computed exactly.
+Winnowing. A rolling hash runs over the words of a record; hashes are ordered by how rare they
+are (counted exactly over all records), and the smallest of each window is a fingerprint.
+Records are joined across splits on their fingerprints. On each joined pair common fingerprints
+are chained where they rise in both texts, the stretches between them and at the ends are
+aligned word by word with substitutions and gaps, and what is left is chained again, so that
+turns in another order are covered too. The aligned words are each record's coverage; the
+similarity of the two sets of hashes is checked exactly at the end.
+
+Why no pair of similarity t is missed (t > 0.5). Take the distinct hashes of A in the order in which they first
+occur. Those that B lacks, u of them, cut the others into at most u + 1 runs. As t n > (1 - t) n + 1,
+some run has two hashes or more; let m be the smallest hash in such runs. Its neighbour in the run is
+larger, so m is the minimum of a window of two. Smaller than m are in A only the hashes that B lacks
+and runs of one, in B only those that A lacks and runs of one, so m is among the smallest 2 u + 1 of A and
+the smallest (1 - t) / t n + 1 of B. The train side therefore offers the window minima among its
+first 2 u + 1 hashes, u being what t allows at most, and the evaluation side is searched by its
+first (1 - t) / t n + 1 ones. A hash that only one side has is smaller than every other, and is never joined.
 """
 
 from __future__ import annotations
@@ -15,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +35,16 @@ from sparlance.llm.common import clean_id, trimmed
 from sparlance.session import cut
 
 WORD = re.compile(r"[^\W_]+")
-#: Buckets of the count sketch that orders hashes by how common they are: a fixed 2 MB on the driver.
-SKETCH = 1 << 18
-#: Consecutive shingles of which one is a fingerprint.
-WINDOW = 4
+#: Hashes in a window of the join: the widest for which the search is lossless.
+WINDOW = 2
+#: Hashes in a window whose minimum may be a seed of an alignment.
+SEED_WINDOW = 4
+#: Bits of the filter that keeps hashes of one side only out of the shuffle: a bound on its size (32 MB), and bits for each hash it holds.
+FILTER_BITS, BITS_EACH = 1 << 28, 16
+#: So many keys may be broadcast, 16 bytes each.
+FEW_KEYS = 1 << 18
+#: A fingerprint that more train records than this have is spread over tasks.
+HOT = 4096
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +79,12 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
         return _mix(total)
 
 
+def in_order(shingles: np.ndarray) -> np.ndarray:
+    """Distinct shingles in the order in which they first occur."""
+    unique, first = np.unique(shingles, return_index=True)
+    return unique[np.argsort(first, kind="stable")]
+
+
 def window_minima(rank: np.ndarray, window: int) -> np.ndarray:
     """Positions of the smallest rank in each run of `window` positions (all of the run if it is shorter)."""
     n = len(rank)
@@ -73,83 +94,195 @@ def window_minima(rank: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(n - window + 1) + view.argmin(axis=1))
 
 
-def prefix_length(n: int, similarity: float) -> int:
-    """How many of its smallest hashes a set of n must offer for a lossless join."""
-    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+def may_lack(n: int, similarity: float) -> int:
+    """How many of a set's n hashes a partner of that similarity lacks at most."""
+    return n - math.ceil(similarity * n - 1e-9)
 
 
-def _ordered(shingles: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """Distinct shingles by (count in the sketch, value)."""
-    unique = np.unique(shingles)
-    return unique[np.lexsort((unique, sketch[(unique & np.uint64(SKETCH - 1)).astype(np.int64)]))]
+def may_differ(n: int, similarity: float) -> int:
+    """How many hashes one of a set of n and its partner has without the other, at most."""
+    return math.floor((1 - similarity) / similarity * n + 1e-9)
 
 
-def record_words(records: DataFrame, *, k: int, key: str = "record_key") -> DataFrame:
-    """(key, is_train, class_hi, class_lo, n, words) of each record with a role, messages and k words or more.
+def fingerprints(n: int, position: np.ndarray, rarity: np.ndarray, h: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(offered, searched): which of a record's hashes it offers as a train record and is searched by as another one.
 
-    words holds the word hashes in order; class_hi and class_lo name the set of shingles, so
-    exact copies and rows that differ only in repetition fall into one class.
+    The record has n distinct hashes; position, rarity and h are those of the hashes that both
+    sides have. The others come first in the order.
     """
+    alone = n - len(h)
+    none = np.empty(0, dtype=int)
+    if not len(h):
+        return none, none
+    order = np.lexsort((h, rarity))
+    rank = np.zeros(n, dtype=np.int64)  # 0: only one side has it
+    rank[position[order]] = alone + np.arange(len(h))
+    at = np.empty(len(h), dtype=np.int64)
+    at[order] = alone + np.arange(len(h))
+    searched = np.flatnonzero(at <= may_differ(n, similarity)) if alone <= may_differ(n, similarity) else none
+    lack = may_lack(n, similarity)
+    if alone > lack:
+        return none, searched
+    if n * (2 * similarity - 1) <= 1:  # too short for runs of two
+        return np.arange(len(h)), searched
+    minimum = np.zeros(n, dtype=bool)
+    minimum[window_minima(rank, WINDOW)] = True
+    return np.flatnonzero((at <= 2 * lack) & minimum[position]), searched
+
+
+def record_texts(records: DataFrame, key: str = "record_key") -> DataFrame:
+    """(key, is_train, text) of each record with a key, a role and messages; null contents are empty texts."""
     spoken = F.filter("messages", lambda m: F.lower(trimmed(m["role"])).isin("user", "assistant"))
     text = F.concat_ws("\n", F.transform(spoken, lambda m: F.coalesce(m["content"], F.lit(""))))
     role = F.lower(trimmed(F.col("split_role")))
-    rows = records.where(F.col("split_role").isNotNull() & F.col("messages").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), (role == "train").alias("is_train"), text.alias("text"))
+    kept = records.where(F.col("split_role").isNotNull() & F.col("messages").isNotNull() & F.col(key).isNotNull())
+    return kept.select(F.col(key).alias("key"), (role == "train").alias("is_train"), text.alias("text"))
+
+
+def record_classes(texts: DataFrame, k: int) -> DataFrame:
+    """(key, is_train, class_hi, class_lo, n) of each text of k words or more.
+
+    class_hi and class_lo name its set of shingles, n of them: exact copies and texts that differ
+    only in repetition fall into one class.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             known: dict[str, int] = {}
             out = []
-            for key_, train, text_ in zip(pdf.key, pdf.is_train, pdf.text):
-                words = word_hashes(text_, known)
-                unique = np.unique(rolling(words, k))
+            for key, train, text in zip(pdf.key, pdf.is_train, pdf.text):
+                unique = np.unique(rolling(word_hashes(text, known), k))
                 if len(unique):
                     with np.errstate(over="ignore"):
                         hi = _mix(unique).sum(dtype=np.uint64)
                         lo = _mix(unique * _MULTIPLIER + np.uint64(1)).sum(dtype=np.uint64)
-                    out.append((key_, bool(train), np.int64(hi.view(np.int64)), np.int64(lo.view(np.int64)), len(unique), words.view(np.int64)))
-            yield pd.DataFrame(out, columns=["key", "is_train", "class_hi", "class_lo", "n", "words"])
+                    out.append((key, bool(train), np.int64(hi.view(np.int64)), np.int64(lo.view(np.int64)), len(unique)))
+            yield pd.DataFrame(out, columns=["key", "is_train", "class_hi", "class_lo", "n"])
+
+    return texts.mapInPandas(run, "key long, is_train boolean, class_hi long, class_lo long, n int")
 
-    return rows.mapInPandas(run, "key long, is_train boolean, class_hi long, class_lo long, n int, words array<long>")
 
+def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """(h, rarity): the shingles that both a train record and another one have, and how many records have them."""
 
-def _sketch(classes: DataFrame, k: int) -> np.ndarray:
-    """Counts of shingles by bucket, over all classes; of fixed size whatever the corpus."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known: dict[str, int] = {}
+            got = [(np.unique(rolling(word_hashes(t, known), k)), 1 if train else 2) for train, t in zip(pdf.is_train, pdf.text)]
+            if got:
+                yield pd.DataFrame({"h": np.concatenate([s for s, _ in got]).view(np.int64), "side": np.concatenate([np.full(len(s), side, dtype=np.int32) for s, side in got])})
+
+    counted = texts.select("is_train", "text").mapInPandas(run, "h long, side int").groupBy("h").agg(F.count("*").alias("rarity"), F.bit_or("side").alias("side"))
+    return counted.where("side = 3").select("h", "rarity")
+
+
+def _filter_of(shared: DataFrame) -> np.ndarray:
+    """Bits by hash of the shared shingles. It only spares the shuffle what cannot join; its size is bounded, and once it
+    is full everything passes. Each slice of it is put together where its hashes are; only bits reach the driver."""
+    bits = 1 << 12
+    while bits < min(FILTER_BITS, BITS_EACH * shared.count()):
+        bits *= 2
+    slices = max(1, bits >> 20)
+    each = bits // slices
+    at = shared.selectExpr(f"h & {bits - 1}L AS at")
+    words = at.selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, int(at & 63)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bit"))
+    placed = words.withColumn("slice", F.floor(F.col("word") * 64 / each).cast("int")).repartition("slice")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = np.zeros(SKETCH, dtype=np.int64)
+        blocks: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for words in pdf.words:
-                s = np.unique(rolling(np.asarray(words, dtype=np.int64).view(np.uint64), k))
-                np.add.at(count, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(count)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": count[at]})
-
-    got = classes.select("words").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    full = np.zeros(SKETCH, dtype=np.int32)
-    full[got.bucket.to_numpy(dtype=np.int64)] = np.minimum(got.n.to_numpy(dtype=np.int64), 2**31 - 1)
+            for s, part in pdf.groupby("slice"):
+                block = blocks.setdefault(int(s), np.zeros(each // 64, dtype=np.int64))
+                block[part.word.to_numpy() - int(s) * (each // 64)] = part.bit.to_numpy()
+        yield pd.DataFrame({"slice": list(blocks), "block": [b.tobytes() for b in blocks.values()]})
+
+    full = np.zeros(bits // 64, dtype=np.int64)
+    for s, block in placed.mapInPandas(run, "slice int, block binary").toLocalIterator():
+        full[s * (each // 64) : (s + 1) * (each // 64)] = np.frombuffer(block, dtype=np.int64)
     return full
 
 
-def chain_coverage(a: np.ndarray, b: np.ndarray, k: int, window: int = WINDOW) -> tuple[int, int]:
-    """Words of a and of b that lie in a chain of common fingerprints, extended word by word.
+def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
+
 
-    Fingerprints are window minima that occur once in either; the longest chain with rising
-    positions in both is kept, and each seed grows to the left and right while words agree.
+def record_fingerprints(texts: DataFrame, shared: DataFrame, *, similarity: float, k: int) -> DataFrame:
+    """(h, key, n, offered, searched) of each fingerprint of each text."""
+    spark = texts.sparkSession
+    filter_ = spark.sparkContext.broadcast(_filter_of(shared))
+    most = lambda n: max(may_lack(n, similarity), may_differ(n, similarity))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = filter_.value
+        for pdf in batches:
+            known: dict[str, int] = {}
+            cols: list[list] = [[], [], [], []]
+            for key, text in zip(pdf.key, pdf.text):
+                own = in_order(rolling(word_hashes(text, known), k))
+                at = np.flatnonzero(_passes(own, bits)) if len(own) else own
+                if len(at) and len(own) - len(at) <= most(len(own)):
+                    for col, v in zip(cols, (own[at].view(np.int64), np.full(len(at), key), np.full(len(at), len(own), dtype=np.int32), at.astype(np.int32))):
+                        col.append(v)
+            if cols[0]:
+                yield pd.DataFrame(dict(zip(("h", "key", "n", "position"), map(np.concatenate, cols))))
+
+    met = texts.select("key", "text").mapInPandas(places, "h long, key long, n int, position int").join(shared, "h")
+    each = met.groupBy("key").agg(F.max("n").alias("n"), F.collect_list(F.struct("position", "rarity", "h")).alias("met"))  # of one text
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, n, met_ in zip(pdf.key, pdf.n, pdf.met):
+                position, rarity, h = (np.array([m[c] for m in met_], dtype=np.int64) for c in ("position", "rarity", "h"))
+                offered, searched = fingerprints(n, position, rarity, h, similarity)
+                a, b = set(offered.tolist()), set(searched.tolist())
+                out += [(int(h[i]), key, n, i in a, i in b) for i in sorted(a | b)]
+            yield pd.DataFrame(out, columns=["h", "key", "n", "offered", "searched"])
+
+    return each.mapInPandas(choose, "h long, key long, n int, offered boolean, searched boolean")
+
+
+def candidate_pairs(seeds: DataFrame, *, similarity: float) -> DataFrame:
+    """(a, b): classes of train and of other records that share a fingerprint and could be that similar by their sizes.
+
+    The join also goes by a band of sizes, as only sets of like size can be similar; a fingerprint that
+    many train records of a band have is spread over several tasks, to each of which its searches are sent.
     """
-    sa, sb = rolling(a, k), rolling(b, k)
-    at_b: dict[int, int] = {}
-    for j in window_minima(sb, window):
-        at_b[int(sb[j])] = -1 if int(sb[j]) in at_b else int(j)
-    seeds, seen = [], set()
-    for i in window_minima(sa, window):
-        h = int(sa[i])
-        if at_b.get(h, -1) >= 0 and h not in seen:
-            seeds.append((int(i), at_b[h]))
-        seen.add(h)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(similarity))).cast("int")
+    left = cut(seeds.where("offered and has_train").select("h", band.alias("band"), F.col("class").alias("a"), F.col("n").alias("na")))
+    near = seeds.where("searched and has_eval").select("h", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("class").alias("b"), F.col("n").alias("nb"))
+    hot = left.groupBy("h", "band").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("h", "band", F.ceil(F.col("many") / HOT).cast("int").alias("parts"))
+    left = left.join(hot, ["h", "band"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
+    near = near.join(hot, ["h", "band"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
+    possible = (F.col("a") != F.col("b")) & (F.col("nb") >= F.col("na") * similarity - 1e-6) & (F.col("na") >= F.col("nb") * similarity - 1e-6)
+    return left.join(near, ["h", "band", "part"]).where(possible).select("a", "b").distinct()
+
+
+# ---------------------------------------------------------------- chains and alignment
+
+
+def _aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that agree in the best alignment of two stretches, with substitutions and gaps (by bit vectors)."""
+    if not len(a) or not len(b):
+        return 0
+    at: dict[int, int] = {}
+    for i, w in enumerate(b.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a.tolist():
+        hit = row & at.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
+def _rising(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Longest run of seeds that rises in both texts."""
     tails: list[int] = []
     at: list[int] = []
     back = [-1] * len(seeds)
-    for x, (_, j) in enumerate(seeds):  # longest increasing run of positions in b
+    for x, (_, j) in enumerate(seeds):
         p = bisect_left(tails, j)
         if p == len(tails):
             tails.append(j)
@@ -161,91 +294,119 @@ def chain_coverage(a: np.ndarray, b: np.ndarray, k: int, window: int = WINDOW) -
     while x >= 0:
         chain.append(seeds[x])
         x = back[x]
-    in_a, in_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
-    for i, j in reversed(chain):
-        if in_a[i] and in_b[j] and in_a[i + k - 1] and in_b[j + k - 1]:
-            continue
-        lo = 0
-        while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1]:
-            lo += 1
-        hi = k
-        while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-            hi += 1
-        in_a[i - lo : i + hi] = True
-        in_b[j - lo : j + hi] = True
-    return int(in_a.sum()), int(in_b.sum())
+    return chain[::-1]
 
 
-def overlapping_pairs(records: DataFrame, *, similarity: float = 0.7, k: int = 3, key: str = "record_key") -> DataFrame:
-    """(train_key, eval_key, similarity, train_coverage, eval_coverage) of every pair of a train record
-    and a record of another role whose sets of k-word shingles have that Jaccard similarity or more.
+def chain_coverage(a: np.ndarray, b: np.ndarray, k: int, window: int = SEED_WINDOW) -> tuple[int, int]:
+    """Words of a and of b that agree in chains of common fingerprints and the alignments around them.
 
-    Roles are trimmed and compared in lower case; rows with a null role or null messages, and
-    rows of fewer than k words or without a key, are in no pair. Null contents are empty texts. Copies are
-    compared once, by their class, and listed again in the result. An empty table gives no row.
+    Seeds are window minima; a fingerprint that occurs several times pairs its first place in a with
+    its first in b, its second with its second, and so on. The longest chain that rises in both
+    grows to both sides while words agree; the seeds it leaves form further chains in the words that are
+    left. Then the stretches between the seeds of a chain and beyond its ends are aligned,
+    with substitutions and gaps.
     """
-    rows = cut(record_words(records, k=k, key=key))
-    cls = ["class_hi", "class_lo"]
-    members = rows.select("key", "is_train", *cls)
-    classes = cut(
-        rows.groupBy(*cls).agg(F.max("is_train").alias("has_train"), F.max(~F.col("is_train")).alias("has_eval"), F.min(F.struct("key", "n", "words")).alias("one"))
-        .select(*cls, "has_train", "has_eval", F.col("one.key").alias("class"), F.col("one.n").alias("n"), F.col("one.words").alias("words"))
-    )
-    spark = records.sparkSession
-    sketch = spark.sparkContext.broadcast(_sketch(classes, k))
-
-    def minima(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = sketch.value
-        for pdf in batches:
-            cols: list[list] = [[], [], [], []]
-            flags: list[np.ndarray] = [[], []]
-            for c, n, words, t, e in zip(pdf["class"], pdf.n, pdf.words, pdf.has_train, pdf.has_eval):
-                kept = _ordered(rolling(np.asarray(words, dtype=np.int64).view(np.uint64), k), order)[: prefix_length(n, similarity)]
-                for col, v in zip(cols, (kept.view(np.int64), np.full(len(kept), c), np.full(len(kept), n), np.arange(len(kept)))):
-                    col.append(v)
-                flags[0].append(np.full(len(kept), t))
-                flags[1].append(np.full(len(kept), e))
-            if cols[0]:
-                h, c, n, p = map(np.concatenate, cols)
-                yield pd.DataFrame({"h": h, "class": c, "n": n.astype(np.int32), "p": p.astype(np.int32), "t": np.concatenate(flags[0]), "e": np.concatenate(flags[1])})
-
-    seeds = classes.select("class", "n", "words", "has_train", "has_eval").mapInPandas(minima, "h long, class long, n int, p int, t boolean, e boolean")
-    seeds = cut(seeds)
-    left = seeds.where("t").select("h", F.col("class").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
-    right = seeds.where("e").select("h", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    need = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-6)
-    possible = (
-        (F.col("a") != F.col("b"))
-        & (F.col("nb") >= F.col("na") * similarity - 1e-6)
-        & (F.col("na") >= F.col("nb") * similarity - 1e-6)
-        & (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need)
-    )
-    candidates = left.join(right, "h").where(possible).select("a", "b").distinct()
-    text_a = classes.select(F.col("class").alias("a"), F.col("words").alias("words_a"))
-    text_b = classes.select(F.col("class").alias("b"), F.col("words").alias("words_b"))
+    sa, sb = rolling(a, k), rolling(b, k)
+    places: dict[int, list[int]] = defaultdict(list)
+    for j in window_minima(sb, window):
+        places[int(sb[j])].append(int(j))
+    met: dict[int, int] = defaultdict(int)
+    seeds = []
+    for i in window_minima(sa, window):
+        h = int(sa[i])
+        if met[h] < len(places.get(h, ())):
+            seeds.append((int(i), places[h][met[h]]))
+            met[h] += 1
+    in_a, in_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+    chains: list[list[tuple[int, int, int, int]]] = []
+    while seeds:
+        chain = _rising(seeds)
+        spans = []
+        for i, j in chain:
+            if in_a[i : i + k].any() or in_b[j : j + k].any():
+                continue
+            lo, hi = 0, k
+            while i > lo and j > lo and not in_a[i - lo - 1] and not in_b[j - lo - 1] and a[i - lo - 1] == b[j - lo - 1]:
+                lo += 1
+            while i + hi < len(a) and j + hi < len(b) and not in_a[i + hi] and not in_b[j + hi] and a[i + hi] == b[j + hi]:
+                hi += 1
+            in_a[i - lo : i + hi] = in_b[j - lo : j + hi] = True
+            spans.append((i - lo, i + hi, j - lo, j + hi))
+        if spans:
+            chains.append(spans)
+        gone = set(chain)
+        seeds = [s for s in seeds if s not in gone]
+    agree = int(in_a.sum())
+    for spans in chains:
+        edges = [(0, 0, 0, 0), *spans, (len(a), len(a), len(b), len(b))]
+        for x, y in zip(edges, edges[1:]):
+            i, j = slice(x[1], y[0]), slice(x[3], y[2])
+            agree += _aligned(a[i][~in_a[i]], b[j][~in_b[j]])
+            in_a[i] = in_b[j] = True
+    return agree, agree
+
+
+# ---------------------------------------------------------------- the whole search
+
+
+def record_classes_and_pairs(records: DataFrame, *, similarity: float = 0.7, k: int = 3, key: str = "record_key") -> tuple[DataFrame, DataFrame]:
+    """(members, pairs). members: (key, is_train, class) of each record that can be in a pair; a class is named by its smallest key.
+    pairs: (train_class, eval_class, similarity, train_coverage, eval_coverage), a class with both kinds of records also with itself.
+
+    Roles are trimmed and compared in lower case; rows with a null role or null messages, and rows of
+    fewer than k words or without a key, are in no class. Null contents are empty texts. An empty table
+    gives no row.
+    """
+    if not 0.5 < similarity <= 1:
+        raise ValueError("the search is lossless for similarities above 0.5 only")
+    texts = record_texts(records, key)
+    rows = cut(record_classes(texts, k))
+    name = ["class_hi", "class_lo"]
+    classes = rows.groupBy(*name).agg(F.min("key").alias("class"), F.max("is_train").alias("has_train"), F.max(~F.col("is_train")).alias("has_eval"))
+    classes = cut(classes)
+    members = rows.join(classes.select(*name, "class"), name).select("key", "is_train", "class")
+    shared = cut(shared_shingles(texts, k))
+    seeds = record_fingerprints(texts, shared, similarity=similarity, k=k)
+    seeds = seeds.join(classes.select(F.col("class").alias("key"), "has_train", "has_eval"), "key").withColumnRenamed("key", "class")
+    candidates = cut(candidate_pairs(cut(seeds), similarity=similarity))
+    wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
+    wanted = cut(wanted)
+    few = F.broadcast(wanted) if wanted.count() <= FEW_KEYS else wanted
+    one = texts.join(few, "key").groupBy("key").agg(F.min("text").alias("text"))  # a key that is repeated has one text
+    one = cut(one)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for a, b, wa, wb in zip(pdf.a, pdf.b, pdf.words_a, pdf.words_b):
-                wa = np.asarray(wa, dtype=np.int64).view(np.uint64)
-                wb = np.asarray(wb, dtype=np.int64).view(np.uint64)
+            known: dict[str, int] = {}
+            for a, b, ta, tb in zip(pdf.a, pdf.b, pdf.text_a, pdf.text_b):
+                wa, wb = word_hashes(ta, known), word_hashes(tb, known)
                 ua, ub = np.unique(rolling(wa, k)), np.unique(rolling(wb, k))
                 both = len(np.intersect1d(ua, ub, assume_unique=True))
                 union = len(ua) + len(ub) - both
                 if both >= similarity * union - 1e-9:
                     ca, cb = chain_coverage(wa, wb, k)
                     out.append((a, b, both / union, ca / len(wa), cb / len(wb)))
-            yield pd.DataFrame(out, columns=["a", "b", "similarity", "train_coverage", "eval_coverage"])
+            yield pd.DataFrame(out, columns=["train_class", "eval_class", "similarity", "train_coverage", "eval_coverage"])
 
-    schema = "a long, b long, similarity double, train_coverage double, eval_coverage double"
-    found = candidates.join(text_a, "a").join(text_b, "b").mapInPandas(verify, schema)
-    same = classes.where("has_train and has_eval").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"), F.lit(1.0).alias("train_coverage"), F.lit(1.0).alias("eval_coverage"))
-    pairs = cut(found.unionByName(same))
-    named = members.join(classes.select(*cls, "class"), cls).select("key", "is_train", "class")
-    trains = named.where("is_train").select(F.col("key").alias("train_key"), F.col("class").alias("a"))
-    evals = named.where("not is_train").select(F.col("key").alias("eval_key"), F.col("class").alias("b"))
-    return pairs.join(trains, "a").join(evals, "b").select("train_key", "eval_key", "similarity", "train_coverage", "eval_coverage")
+    schema = "train_class long, eval_class long, similarity double, train_coverage double, eval_coverage double"
+    text_of = lambda c: one.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
+    found = candidates.join(text_of("a"), "a").join(text_of("b"), "b").mapInPandas(verify, schema)
+    itself = classes.where("has_train and has_eval").select(F.col("class").alias("train_class"), F.col("class").alias("eval_class"), *[F.lit(1.0).alias(c) for c in ("similarity", "train_coverage", "eval_coverage")])
+    return members, cut(found.unionByName(itself))
+
+
+def overlapping_pairs(records: DataFrame, *, similarity: float = 0.7, k: int = 3, key: str = "record_key") -> DataFrame:
+    """(train_key, eval_key, similarity, train_coverage, eval_coverage) of every pair of a train record
+    and a record of another role whose sets of k-word shingles have that Jaccard similarity or more.
+
+    Copies are compared once, by their class, and listed again in the result; see record_classes_and_pairs
+    for what counts.
+    """
+    members, pairs = record_classes_and_pairs(records, similarity=similarity, k=k, key=key)
+    trains = members.where("is_train").select(F.col("key").alias("train_key"), F.col("class").alias("train_class"))
+    evals = members.where("not is_train").select(F.col("key").alias("eval_key"), F.col("class").alias("eval_class"))
+    return pairs.join(trains, "train_class").join(evals, "eval_class").select("train_key", "eval_key", "similarity", "train_coverage", "eval_coverage")
 
 
 def pair_keys(pairs: DataFrame) -> DataFrame:
@@ -253,12 +414,22 @@ def pair_keys(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b"))
 
 
-def overlap_report(records: DataFrame, pairs: DataFrame, key: str = "record_key") -> DataFrame:
-    """Per split_id and source of evaluation rows: rows, rows that overlap with train, exact ones, mean coverage.
+def overlap_members(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(record_key, is_train, class, n_links) of each record in a class: with how many classes of the other side it is paired."""
+    links = pairs.select(F.col("train_class").alias("class"), F.lit(True).alias("is_train")).unionByName(pairs.select(F.col("eval_class").alias("class"), F.lit(False).alias("is_train")))
+    counted = links.groupBy("class", "is_train").agg(F.count("*").alias("n_links"))
+    return members.join(counted, ["class", "is_train"], "left").select(F.col("key").alias("record_key"), "is_train", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def overlap_report(records: DataFrame, members: DataFrame, pairs: DataFrame, key: str = "record_key") -> DataFrame:
+    """Per split_id and source of evaluation rows: rows, rows that overlap with train, exact ones, pairs, mean coverage.
 
-    Null split ids and sources form groups of their own, shown as "". Rows of role train are left out.
+    Null split ids and sources form groups of their own, shown as "". Rows of role train are left out. Pairs
+    are counted from the sizes of classes, never listed.
     """
-    best = pairs.groupBy(F.col("eval_key").alias(key)).agg(F.max("similarity").alias("similarity"), F.max("eval_coverage").alias("coverage"), F.count("*").alias("n"))
+    sizes = members.where("is_train").groupBy("class").agg(F.count("*").alias("many")).withColumnRenamed("class", "train_class")
+    by_class = pairs.join(sizes, "train_class").groupBy(F.col("eval_class").alias("class")).agg(F.max("similarity").alias("similarity"), F.max("eval_coverage").alias("coverage"), F.sum("many").alias("n"))
+    best = members.where("not is_train").join(by_class, "class").select(F.col("key").alias(key), "similarity", "coverage", "n")
     role = F.lower(trimmed(F.col("split_role")))
     rows = records.where(role != "train").select(F.col(key), F.coalesce(F.col("split_id"), F.lit("")).alias("split_id"), F.coalesce(clean_id(F.col("source")), F.lit("")).alias("source"))
     joined = rows.join(best, key, "left")

@@ -29,12 +29,17 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p2_overlaps(spark: SparkSession, base: str) -> DataFrame:
-    return overlap.overlapping_pairs(table(spark, base, "prepared_records"))
+    """Pairs of classes; p2_members says which records are in them."""
+    return overlap.record_classes_and_pairs(table(spark, base, "prepared_records"))[1]
+
+
+def p2_members(spark: SparkSession, base: str) -> DataFrame:
+    return overlap.overlap_members(*overlap.record_classes_and_pairs(table(spark, base, "prepared_records")))
 
 
 def p2_report(spark: SparkSession, base: str) -> DataFrame:
     records = table(spark, base, "prepared_records")
-    return overlap.overlap_report(records, overlap.overlapping_pairs(records))
+    return overlap.overlap_report(records, *overlap.record_classes_and_pairs(records))
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
@@ -88,7 +93,7 @@ def p8_restored(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_assignment, p1_split_report, p2_found, p2_overlaps, p2_report, p3_found, p3_statements, p4_found, p4_summary,
+        p1_found, p1_assignment, p1_split_report, p2_found, p2_overlaps, p2_members, p2_report, p3_found, p3_statements, p4_found, p4_summary,
         p5_containers, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_restored,
     )
 }

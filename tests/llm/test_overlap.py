@@ -61,9 +61,11 @@ def test_nulls_short_texts_copies_and_empty_tables(spark):
     got = {tuple(r) for r in overlap.pair_keys(overlap.overlapping_pairs(frame(spark, rows))).collect()}
     assert got == {(1, 2), (2, 7)}
     assert overlap.overlapping_pairs(frame(spark, [])).count() == 0
-    pairs = overlap.overlapping_pairs(frame(spark, rows))
-    report = overlap.overlap_report(frame(spark, rows), pairs).collect()
-    assert sum(r["overlapping_rows"] for r in report) == 1
+    members, pairs = overlap.record_classes_and_pairs(frame(spark, rows))
+    report = overlap.overlap_report(frame(spark, rows), members, pairs).collect()
+    assert sum(r["overlapping_rows"] for r in report) == 1 and sum(r["pairs"] for r in report) == 2
+    links = {r["record_key"]: (r["class"], r["n_links"]) for r in overlap.overlap_members(members, pairs).collect()}
+    assert links == {1: (1, 1), 2: (1, 1), 7: (1, 1)}
 
 
 def test_very_long_text(spark):
@@ -87,8 +89,49 @@ def test_window_minima_cover_every_window():
     assert all(picked & set(range(i, i + 4)) for i in range(197))
 
 
-def test_prefix_length_is_lossless():
-    for n in range(1, 60):
-        for common in range(n + 1):
-            if common >= 0.7 * n - 1e-9:
-                assert n - common < overlap.prefix_length(n, 0.7)
+@pytest.mark.parametrize("similarity", [0.6, 0.7, 0.8, 0.9])
+def test_fingerprints_lose_no_pair(similarity):
+    """Any two sequences that are similar enough share a fingerprint, whatever is rare in them."""
+    rng = random.Random(5)
+    tried = 0
+    for _ in range(20_000):
+        n = rng.randint(1, 14)
+        a = rng.sample(range(40), n)
+        b = [x if rng.random() < 0.9 else rng.randrange(40) for x in a if rng.random() < 0.95]
+        b = list(dict.fromkeys(b + [rng.randrange(40) for _ in range(rng.choice((0, 0, 1, 2)))]))
+        if rng.random() < 0.3:
+            rng.shuffle(b)
+        both = set(a) & set(b)
+        if not both or len(both) < similarity * len(set(a) | set(b)) - 1e-9 or set(a) == set(b):
+            continue
+        tried += 1
+        joinable = both | {x for x in range(40) if rng.random() < 0.5}
+        rarity = {x: rng.randint(1, 3) for x in range(40)}
+        side = []
+        for own in (a, b):
+            at = [i for i, x in enumerate(own) if x in joinable]
+            h = np.array([own[i] for i in at], dtype=np.int64)
+            offered, searched = overlap.fingerprints(len(own), np.array(at, dtype=np.int64), np.array([rarity[x] for x in h], dtype=np.int64), h, similarity)
+            side.append(({int(h[i]) for i in offered}, {int(h[i]) for i in searched}))
+        assert side[0][0] & side[1][1] and side[1][0] & side[0][1], (a, b)
+    assert tried > 200
+
+
+def test_hot_fingerprints_are_spread_and_the_filter_may_be_full(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 3)
+    monkeypatch.setattr(overlap, "FILTER_BITS", 1)
+    monkeypatch.setattr(overlap, "FEW_KEYS", 1)
+    rows = [(i, "train" if i % 3 else "eval", [("user", "one two three four five six seven eight nine ten eleven"), ("assistant", f"w{i}")]) for i in range(60)]
+    got = {tuple(r) for r in overlap.pair_keys(overlap.overlapping_pairs(frame(spark, rows))).collect()}
+    assert got == set(brute(rows)) and len(got) == 20 * 40
+
+
+def test_alignment_covers_changed_words_and_turns_in_another_order():
+    words = lambda s: np.array([hash(w) & 0xFFFF for w in s.split()], dtype=np.uint64)
+    a = "a b c d e f g h i j k l m n o p q r s t".split()
+    changed = [*a[:6], "X", *a[7:13], *a[14:]]
+    assert overlap.chain_coverage(words(" ".join(a)), words(" ".join(changed)), 3) == (18, 18)
+    turned = a[10:] + a[:10]
+    assert overlap.chain_coverage(words(" ".join(a)), words(" ".join(turned)), 3)[0] >= 16
+    twice = a + a
+    assert overlap.chain_coverage(words(" ".join(twice)), words(" ".join(twice)), 3) == (40, 40)
