@@ -54,17 +54,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of the words of a text, in order. `known` is a memo the caller may clear."""
-    import xxhash
+class WordHashes(dict):
+    """64-bit hash of each word met; forgets all of them before it grows beyond a million."""
 
-    out = []
-    for w in WORD.findall(text.lower()):
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= 1 << 20:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        """Hashes of the words of a text, in order."""
+        return np.array(list(map(self.__getitem__, WORD.findall(text.lower()))), dtype=np.uint64)
 
 
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
@@ -139,36 +142,13 @@ def record_texts(records: DataFrame, key: str = "record_key") -> DataFrame:
     return kept.select(F.col(key).alias("key"), (role == "train").alias("is_train"), text.alias("text"))
 
 
-def record_classes(texts: DataFrame, k: int) -> DataFrame:
-    """(key, is_train, class_hi, class_lo, n) of each text of k words or more.
-
-    class_hi and class_lo name its set of shingles, n of them: exact copies and texts that differ
-    only in repetition fall into one class.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            known: dict[str, int] = {}
-            out = []
-            for key, train, text in zip(pdf.key, pdf.is_train, pdf.text):
-                unique = np.unique(rolling(word_hashes(text, known), k))
-                if len(unique):
-                    with np.errstate(over="ignore"):
-                        hi = _mix(unique).sum(dtype=np.uint64)
-                        lo = _mix(unique * _MULTIPLIER + np.uint64(1)).sum(dtype=np.uint64)
-                    out.append((key, bool(train), np.int64(hi.view(np.int64)), np.int64(lo.view(np.int64)), len(unique)))
-            yield pd.DataFrame(out, columns=["key", "is_train", "class_hi", "class_lo", "n"])
-
-    return texts.mapInPandas(run, "key long, is_train boolean, class_hi long, class_lo long, n int")
-
-
 def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
     """(h, rarity): the shingles that both a train record and another one have, and how many records have them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
         for pdf in batches:
-            known: dict[str, int] = {}
-            got = [(np.unique(rolling(word_hashes(t, known), k)), 1 if train else 2) for train, t in zip(pdf.is_train, pdf.text)]
+            got = [(np.unique(rolling(known.of(t), k)), 1 if train else 2) for train, t in zip(pdf.is_train, pdf.text)]
             if got:
                 yield pd.DataFrame({"h": np.concatenate([s for s, _ in got]).view(np.int64), "side": np.concatenate([np.full(len(s), side, dtype=np.int32) for s, side in got])})
 
@@ -207,28 +187,40 @@ def _passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def record_fingerprints(texts: DataFrame, shared: DataFrame, *, similarity: float, k: int) -> DataFrame:
-    """(h, key, n, offered, searched) of each fingerprint of each text."""
-    spark = texts.sparkSession
-    filter_ = spark.sparkContext.broadcast(_filter_of(shared))
+def record_shingles(texts: DataFrame, shared: DataFrame, *, similarity: float, k: int) -> DataFrame:
+    """(key, is_train, class_hi, class_lo, n, position, h) of each text of k words or more.
+
+    class_hi and class_lo name its set of shingles, n of them: exact copies and texts that differ
+    only in repetition fall into one class. position and h are those of its shingles, in the order in
+    which they first occur, that pass the filter of the shared ones; empty where so many fail it that no partner is possible.
+    """
+    filter_ = texts.sparkSession.sparkContext.broadcast(_filter_of(shared))
     most = lambda n: max(may_lack(n, similarity), may_differ(n, similarity))
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = filter_.value
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, known, none = filter_.value, WordHashes(), np.empty(0, dtype=np.int64)
         for pdf in batches:
-            known: dict[str, int] = {}
-            cols: list[list] = [[], [], [], []]
-            for key, text in zip(pdf.key, pdf.text):
-                own = in_order(rolling(word_hashes(text, known), k))
-                at = np.flatnonzero(_passes(own, bits)) if len(own) else own
-                if len(at) and len(own) - len(at) <= most(len(own)):
-                    for col, v in zip(cols, (own[at].view(np.int64), np.full(len(at), key), np.full(len(at), len(own), dtype=np.int32), at.astype(np.int32))):
-                        col.append(v)
-            if cols[0]:
-                yield pd.DataFrame(dict(zip(("h", "key", "n", "position"), map(np.concatenate, cols))))
-
-    met = texts.select("key", "text").mapInPandas(places, "h long, key long, n int, position int").join(shared, "h")
-    each = met.groupBy("key").agg(F.max("n").alias("n"), F.collect_list(F.struct("position", "rarity", "h")).alias("met"))  # of one text
+            out = []
+            for key, train, text in zip(pdf.key, pdf.is_train, pdf.text):
+                own = in_order(rolling(known.of(text), k))
+                n = len(own)
+                if n:
+                    with np.errstate(over="ignore"):
+                        hi = _mix(own).sum(dtype=np.uint64)
+                        lo = _mix(own * _MULTIPLIER + np.uint64(1)).sum(dtype=np.uint64)
+                    at = np.flatnonzero(_passes(own, bits))
+                    if n - len(at) > most(n):
+                        at = none
+                    out.append((key, bool(train), np.int64(hi.view(np.int64)), np.int64(lo.view(np.int64)), n, at.astype(np.int32), own[at].view(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "is_train", "class_hi", "class_lo", "n", "position", "h"])
+
+    return texts.mapInPandas(run, "key long, is_train boolean, class_hi long, class_lo long, n int, position array<int>, h array<long>")
+
+
+def record_fingerprints(shingles: DataFrame, shared: DataFrame, *, similarity: float) -> DataFrame:
+    """(h, key, n, offered, searched) of each fingerprint of each record, from (key, n, position, h) with arrays."""
+    spread = shingles.where(F.size("h") > 0).select("key", "n", F.explode(F.arrays_zip("position", "h")).alias("s")).select("key", "n", "s.position", "s.h")
+    each = spread.join(shared, "h").groupBy("key").agg(F.max("n").alias("n"), F.collect_list(F.struct("position", "rarity", "h")).alias("met"))  # of one text
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -360,14 +352,16 @@ def record_classes_and_pairs(records: DataFrame, *, similarity: float = 0.7, k:
     if not 0.5 < similarity <= 1:
         raise ValueError("the search is lossless for similarities above 0.5 only")
     texts = record_texts(records, key)
-    rows = cut(record_classes(texts, k))
+    shared = cut(shared_shingles(texts, k))
+    rows = cut(record_shingles(texts, shared, similarity=similarity, k=k))
     name = ["class_hi", "class_lo"]
     classes = rows.groupBy(*name).agg(F.min("key").alias("class"), F.max("is_train").alias("has_train"), F.max(~F.col("is_train")).alias("has_eval"))
     classes = cut(classes)
-    members = rows.join(classes.select(*name, "class"), name).select("key", "is_train", "class")
-    shared = cut(shared_shingles(texts, k))
-    seeds = record_fingerprints(texts, shared, similarity=similarity, k=k)
-    seeds = seeds.join(classes.select(F.col("class").alias("key"), "has_train", "has_eval"), "key").withColumnRenamed("key", "class")
+    members = rows.select("key", "is_train", *name).join(classes.select(*name, "class"), name).select("key", "is_train", "class")
+    firsts = classes.select(F.col("class").alias("key"), "has_train", "has_eval")
+    # a key that is repeated with other messages counts by one of its texts
+    one_each = rows.where(F.size("h") > 0).join(firsts.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    seeds = record_fingerprints(one_each, shared, similarity=similarity).join(firsts, "key").withColumnRenamed("key", "class")
     candidates = cut(candidate_pairs(cut(seeds), similarity=similarity))
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
     wanted = cut(wanted)
@@ -376,11 +370,11 @@ def record_classes_and_pairs(records: DataFrame, *, similarity: float = 0.7, k:
     one = cut(one)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
         for pdf in batches:
             out = []
-            known: dict[str, int] = {}
             for a, b, ta, tb in zip(pdf.a, pdf.b, pdf.text_a, pdf.text_b):
-                wa, wb = word_hashes(ta, known), word_hashes(tb, known)
+                wa, wb = known.of(ta), known.of(tb)
                 ua, ub = np.unique(rolling(wa, k)), np.unique(rolling(wb, k))
                 both = len(np.intersect1d(ua, ub, assume_unique=True))
                 union = len(ua) + len(ub) - both
