@@ -1,31 +1,39 @@
-"""Which human language a short passage of prose is in, by script and function words."""
+"""Which human language a short passage of prose is in: by script, by function words, and by words that a labelled corpus teaches."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Mapping
 
-#: Common function words and terms of the domain, by language (ISO 639-1).
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparlance.llm.common import trimmed
+
+#: Common function words, by language (ISO 639-1).
 WORDS: dict[str, str] = {
-    "en": "the of and to in is are was were be been for with that this which what who how many much by on at from as it its an or not no if any there their they them do does did have has had can could should would will may might must i you we me my your our please show list give tell count each every per whose where when here query following statement looks up table returns asked rows about then read column filter keep only sort order sorry unfortunately cannot can't won't able write produce touches guidelines rules answering questions request topic rather else need someone access ask try another mean counted well period use stop let's pass one before after now next thanks ok average rank break down pair first best",
-    "de": "der die das des dem den ein eine einer eines einem einen und oder aber nicht kein keine ist sind war waren wird werden wurde für mit von zu zum zur im in an am auf aus bei nach über unter vor durch gegen ohne um wie viele was wer welche welcher welches wo wann zeige jeden jede jedes eintrag zeilen hat haben gleich enthält deren dessen außer denen durchschnitt je hier abfrage folgende anweisung sucht tabelle liefert gewünschte ergebnis dafür filtert man nach liest dann spalte behält nur gehören sortiert sie leider tut mir leid auskünfte gebe ich kann darf helfen schreiben meinen als soll sollen auch noch bitte sich es wenn weil dass daß",
-    "fr": "le la les l un une des du de d et ou mais ne pas est sont était pour avec dans sur sous par au aux ce cet cette ces que qui quoi dont où combien quelle quel quels quelles affiche chaque vaut contient sauf quand moyenne voici requête suivante cherche table renvoie résultat demandé obtenir cela filtrez puis lisez colonne il suffit garder lignes qui parlent trier selon désolé je peux répondre demande m'est impossible traiter adressez-vous responsable refuse écrire concernant voulez-vous dire comme y a-t-il en se sa son leur nous vous pouvez être faire malheureusement aussi avant après entre plus moins suis aucun",
-    "es": "el la los las un una unos unas de del al y o pero no es son era para por con en sobre sin según entre hay cuál cuáles cuántos cuántas qué quién dónde cuando cuyo cuya cuyos sea contenga salvo muestra cada promedio aquí está consulta siguiente busca tabla devuelve lo que pide obtenerlo filtre luego lea columna basta mantener filas hablan ordenarlas siento puedo ayudar permitido consultar datos refiere como niego escribir acerca se su sus me le les esta este esto más menos también lamento",
-    "pt": "o a os as um uma uns umas do da dos das no na nos nas ao à de e ou mas não é são era para por com em sobre sem quantos quantas qual quais que quem onde quando cujo cuja seja contenha exceto mostre cada média registros existem aqui está consulta seguinte procura tabela devolve pediu obter isso filtre depois leia coluna basta manter linhas falam ordená-las recuso-me escrever tenho permissão consultar você quer dizer como desculpe lamento posso ajudar ele ela seu sua mais menos também foi será isto este esta",
-    "it": "il lo la i gli le un uno una di del della dei delle dello al alla ai alle da dal dalla in nel nella con su sul sulla per tra fra e o ma non è sono era che chi cui quale quali quanti quante dove quando ecco query seguente cerca tabella restituisce ciò richiesto ottenerlo filtra poi leggi colonna bisogna tenere solo righe riguardano ordinarle spiacente posso aiutare vuole dire come mi si suo sua questo questa anche più meno ogni mostra media risultato quanto chiesto",
-    "pl": "i w we z ze na do od dla po przez przy o u nie jest są był była było się to ten ta te tego tej tym że który która które ile jaki jaka jakie gdzie kiedy oraz lub albo ale czy jako pokaż każdy każda każdego średnia oto zapytanie następujące polecenie szuka tabeli zwraca wynik wystarczy wiersze dotyczące potem odczytać kolumnę aby przefiltruj niestety mogę pomóc przykro mi chodzi także też tylko już",
-    "tr": "ve veya ile için bir bu şu o da de mi mı mu mü ne nasıl nerede kaç hangi her değil var yok olan olarak gibi daha çok az ama fakat sorgu işte aşağıdaki tablo tablosunda tablosunu sonuç döndürür satır satırları sütun sütununu sonra göre sıralayın filtreleyin okuyun göster üzgünüm maalesef yardımcı olamam yazamam izin sadece",
-    "nl": "de het een van en of maar niet geen is zijn was voor met in op aan bij uit naar over onder door hoe veel wat wie welke waar wanneer toon elke elk gemiddelde hier volgende zoekt tabel geeft resultaat alleen rijen kolom dan lees helaas kan ik helpen bedoelt u als",
-    "sv": "och eller men inte är var för med av till från på i om under över hur många vad vilken vilka var när visa varje här är frågan följande söker tabellen returnerar raderna kolumnen sedan tyvärr kan jag hjälpa",
+    "en": "the of and to in is are was were be been for with that this these those which what who whom whose how when where why many much by on at from as it its an a or not no nor if any there here their they them he she his her do does did have has had can could should would will shall may might must i you we me my your our us but so than then too very just only also both each every few more most other some such own same about above after again against all because before below between down during into off once out over through under until up while won't can't don't doesn't isn't aren't i'm it's",
+    "de": "der die das des dem den ein eine einer eines einem einen und oder aber nicht kein keine keinen ist sind war waren wird werden wurde wurden für mit von zu zum zur im in am auf aus bei nach über unter vor durch gegen ohne um wie viele was wer wen wem welche welcher welches wo wann warum ich du er sie es wir ihr mich mir dich dir ihn ihm uns euch sich mein dein sein hat haben hatte kann können konnte darf dürfen soll sollen muss müssen will wollen möchte je hier dort dann auch noch nur schon sehr so als wenn weil dass daß ob doch denn alle jede jeder jedes jeden dieser diese dieses meinen bitte leider zwischen deren dessen",
+    "fr": "la le les l un une des du de d et ou mais ne pas est sont était étaient pour avec dans sur sous par au aux ce cet cette ces que qui quoi dont où combien quel quelle quels quelles comment quand pourquoi je tu il elle nous vous ils elles me te se mon ma mes ton sa son ses leur leurs notre votre y en si plus moins très aussi comme être avoir ont avait fait faire peut peux pouvez puis suis sans entre chaque tout tous toute toutes même déjà encore ici là voici cela chez vers après avant depuis pendant aucun aucune m n s j c qu",
+    "es": "el la los las un una unos unas de del al y o pero no es son era eran para por con en sobre sin según entre hay cuál cuáles cuántos cuántas qué quién quiénes dónde cuándo cómo cuando donde como que cuyo cuya cuyos cuyas sea fue ser está están estar yo tú él ella nosotros ustedes me te se le les lo mi tu su sus nuestro este esta esto estos estas ese esa eso más menos muy también ya si porque desde hasta todo todos toda todas cada aquí puedo puede pueden tengo tiene he ha han",
+    "pt": "o a os as um uma uns umas de do da dos das no na nos nas ao à aos às e ou mas não é são era eram para por pelo pela com em sobre sem entre quantos quantas qual quais que quem onde quando como porque cujo cuja cujos cujas seja foi ser está estão estar eu você ele ela nós vocês me te se lhe meu minha seu sua seus suas nosso este esta isto esse essa isso mais menos muito também já só se desde até todo todos toda todas cada aqui posso pode podem tenho tem há",
+    "it": "il lo la i gli le un uno una di del della dei delle dello al alla ai alle da dal dalla dalle in nel nella nei con su sul sulla per tra fra e o ma non è sono era erano che chi cui quale quali quanti quante quanto dove quando come perché io tu lui lei noi voi loro mi ti ci vi si me mio tuo suo sua suoi questo questa questi queste quello quella più meno molto anche già solo se ogni tutto tutti tutte ho ha hanno posso può possono essere avere stato",
+    "pl": "i w we z ze na do od dla po przez przy o u nie jest są był była było były się to ten ta te tego tej tym tych że który która które których ile jaki jaka jakie jak gdzie kiedy dlaczego kto co oraz lub albo ale czy jako ja ty on ona my wy oni mnie mi ci mu jej ich nas nam mój twój jego każdy każda każdego wszystkie także też tylko już bardzo więcej mniej pod nad między bez aby żeby jeśli bo mogę może być został została",
+    "tr": "ve veya ile için bir bu şu o da de mi mı mu mü ne nasıl nerede nereye kaç hangi kim neden her değil var yok olan olarak gibi daha çok az ama fakat ben sen biz siz onlar bana sana ona bize benim senin onun bizim sonra önce göre kadar bütün tüm hiç ise eğer çünkü ancak sadece üzerinde altında içinde olduğu",
+    "nl": "de het een van en of maar niet geen is zijn was waren wordt werd voor met in op aan bij uit naar over onder door hoe veel wat wie welke welk waar wanneer waarom ik jij je u hij zij wij we ze me mij mijn jouw ons onze hun haar dit dat deze die er hier daar dan ook nog maar als omdat kan kunnen mag moet wil alle elke zeer tussen zonder",
+    "sv": "och eller men inte är var för med av till från på i om under över hur många mycket vad vem vilken vilka var när varför jag du han hon vi ni de mig dig oss min din sin det den detta denna dessa som att så än också bara kan ska vill måste har hade alla varje här där mellan utan",
+    "da": "og eller men ikke er var for med af til fra på i om under over hvor mange meget hvad hvem hvilken hvilke hvornår hvorfor jeg du han hun vi de mig dig os min din sin det den dette denne disse som at så også kun kan skal vil må har havde alle hver her der mellem uden",
+    "cs": "a i nebo ale ne není je jsou byl byla bylo být v ve z ze na do od pro po přes při o u se si to ten ta ty tento tato který která které kolik jaký jaká jaké jak kde kdy proč kdo co já ty on ona my vy oni mě mi mu její jejich nás nám můj tvůj jeho každý každá všechny také jen už velmi více méně pod nad mezi bez aby pokud protože mohu může",
+    "ro": "și sau dar nu este sunt era erau pentru cu de din la pe în prin despre fără între câte câți care cine ce unde când cum eu tu el ea noi voi ei mă te se îmi meu mea tău său lui acest această acesta mai foarte și doar fiecare toate toți poate pot trebuie",
+    "hu": "a az és vagy de nem van volt vannak lesz hogy ha mert mint aki ami amely melyik hány mennyi mi ki hol mikor hogyan én te ő mi ti ők ez azok ezek egy meg már csak is nagyon minden között nélkül kell lehet",
+    "fi": "ja tai mutta ei en ole on olivat oli ovat että jos koska kun kuin joka mikä mitä kuka missä milloin miten kuinka monta minä sinä hän me te he tämä tuo se nämä myös vain hyvin kaikki joku",
+    "id": "dan atau tetapi tidak bukan adalah ialah untuk dengan dari ke di pada oleh yang ini itu apa siapa mana berapa bagaimana kapan mengapa saya kamu anda dia kami kita mereka sudah akan bisa boleh dapat juga hanya lebih sangat semua setiap antara tanpa karena jika maaf bagi sila tiada ada",
+    "vi": "và hoặc nhưng không là có của cho với từ đến trong trên này đó những các một được bị tôi bạn anh chị chúng họ gì nào ai đâu khi bao nhiêu rất cũng chỉ thì mà nếu vì",
 }
 
-_SETS = {lang: frozenset(text.split()) for lang, text in WORDS.items()}
-_OWNERS: dict[str, list[str]] = {}
-for _lang, _words in _SETS.items():
-    for _w in _words:
-        _OWNERS.setdefault(_w, []).append(_lang)
-_WEIGHT = {w: 1.0 / len(langs) ** 1.5 for w, langs in _OWNERS.items()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-#: Fixed: ranges of scripts that name a language, or a family of which one is the usual one here.
+#: Fixed: ranges of scripts that name a language, or a family of which one is the usual one.
 _SCRIPTS = (
     ("ja", re.compile(r"[぀-ヿ]")),
     ("ko", re.compile(r"[가-힯]")),
@@ -39,23 +47,74 @@ _SCRIPTS = (
 )
 
 
-def scores(text: str) -> dict[str, float]:
-    """Evidence for each language with Latin script: the weights of its function words in the text."""
-    got: dict[str, float] = {}
+def _weights() -> dict[str, dict[str, float]]:
+    owners: dict[str, list[str]] = {}
+    for lang, text in WORDS.items():
+        for w in set(text.split()):
+            owners.setdefault(w, []).append(lang)
+    return {w: dict.fromkeys(langs, 1.0 / len(langs) ** 1.5) for w, langs in owners.items()}
+
+
+_BASIC = _weights()
+#: A learned word counts as much as a function word that it shares with one other language does.
+LEARNED = 0.35
+#: The fit: labelled documents of a language that are read at most, documents of it a word must be in, how much more
+#: often than in any other language, and words kept for a language.
+FIT_DOCUMENTS, FIT_LEAST, FIT_LEAD, FIT_WORDS = 5_000, 8, 12.0, 2_000
+
+
+def fit_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", documents: int = FIT_DOCUMENTS) -> dict[str, str]:
+    """{word: language} of words that tell a language, from labelled documents.
+
+    About `documents` documents of each language are read, those with the smallest hashes of their keys: a bounded
+    sample. A word must be written in small letters, which leaves names out, in FIT_LEAST documents
+    of its language, and FIT_LEAD times as often, as a share of documents, as in any other language, so that column names and
+    wrong labels teach nothing. At most FIT_WORDS words of each language reach the driver.
+    Labels that are not two letters, null texts and languages of scripts of their own are left out; no documents teach no words.
+    """
+    code = F.lower(trimmed(F.col(lang)))
+    scripts = [name for name, _ in _SCRIPTS]
+    rows = docs.where(F.col(text).isNotNull() & code.rlike("^[a-z]{2}$") & ~code.isin(scripts)).select(code.alias("lang"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    sizes = rows.groupBy("lang").count()
+    share = F.lit(float(documents)) / F.col("count")
+    near = rows.join(F.broadcast(sizes), "lang").where((F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)))  # languages have at most 676 codes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(code_, w) for code_, t in zip(pdf.lang, pdf.text) for w in {w for w in _TOKEN.findall(t) if 2 <= len(w) <= 24 and w.islower()}]
+            yield pd.DataFrame(out, columns=["lang", "word"])
+
+    counts = near.select("lang", "text").mapInPandas(run, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    total = near.groupBy("lang").agg(F.count("*").alias("of"))
+    rated = counts.join(F.broadcast(total), "lang").withColumn("rate", (F.col("n") + 0.0) / F.col("of"))
+    by_word = rated.groupBy("word").agg(F.max(F.struct("rate", "n", "lang")).alias("top"), F.array_sort(F.collect_list("rate")).alias("rates"))  # one rate for a language
+    second = F.coalesce(F.try_element_at("rates", F.lit(-2)), F.lit(0.0))
+    told = by_word.where((F.col("top.n") >= FIT_LEAST) & (F.col("top.rate") >= FIT_LEAD * second)).select("word", "top.lang", "top.n")
+    best = told.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "word")), False), 1, FIT_WORDS).alias("words"))  # words of one language, known by their counts in a bounded sample
+    return {w["word"]: r["lang"] for r in best.collect() for w in r["words"]}
+
+
+def scores(text: str, learned: Mapping[str, str] | None = None) -> dict[str, float]:
+    """Evidence for each language with Latin script: the weights of its words in the text."""
+    got: dict[str, float] = {"es": 0.7} if re.search("[¿¡]", text) else {}
     for w in _TOKEN.findall(text.lower().replace("’", "'")):
-        for part in {w, *w.split("'")}:
-            for lang in _OWNERS.get(part, ()):
-                got[lang] = got.get(lang, 0.0) + _WEIGHT[part]
+        for part in {w, *re.split("['-]", w)}:
+            known = _BASIC.get(part)
+            if known:
+                for lang, weight in known.items():
+                    got[lang] = got.get(lang, 0.0) + weight
+            elif learned and (lang := learned.get(part)):
+                got[lang] = got.get(lang, 0.0) + LEARNED
     return got
 
 
-def language_of(text: str, least: float = 1.0, lead: float = 1.25) -> str | None:
+def language_of(text: str, learned: Mapping[str, str] | None = None, least: float = 0.8, lead: float = 1.25) -> str | None:
     """Language code, or None if the evidence is weak or two languages are close."""
     for lang, script in _SCRIPTS:
         n = len(script.findall(text))
         if n >= 4 or n >= 2 and n * 4 >= sum(map(str.isalpha, text)):
             return lang
-    ranked = sorted(scores(text).items(), key=lambda x: -x[1])
+    ranked = sorted(scores(text, learned).items(), key=lambda x: -x[1])
     if not ranked or ranked[0][1] < least or len(ranked) > 1 and ranked[0][1] < lead * ranked[1][1]:
         return None
     return ranked[0][0]

@@ -7,6 +7,7 @@ another language, refusals, and statements that stop before their end.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -235,34 +236,63 @@ def _broken(word: str) -> bool:
 
 # ---------------------------------------------------------------- refusals
 
-#: Wordings by which an answer declines, by language; patterns over lower-case text.
-REFUSALS: dict[str, tuple[str, ...]] = {
-    "en": (
-        r"\bi(?: am|'m)? ?(?:really |truly |very |so )?(?:sorry|afraid)\b", r"\bunfortunately\b", r"\bregrettably\b", r"\bapologies\b", r"\bapologi[sz]e\b",
-        r"\bi (?:can(?:'t|not| not)|could not|couldn't|won't|will not|would not|wouldn't|must not|mustn't|may not|shouldn't|should not|am unable|am not able|do not have|don't have|refuse|decline|have to (?:pass|decline|refuse)|must (?:decline|refuse|pass)|prefer not|would rather not|cannot)\b",
-        r"\bi'm (?:unable|not able|not allowed|not permitted|not authori[sz]ed|not going to)\b", r"\bi am not (?:able|allowed|permitted|authori[sz]ed|going to)\b",
-        r"\bnot (?:be )?appropriate for me\b", r"\bagainst my (?:guidelines|rules|policy|policies|instructions)\b", r"\bmy (?:rules|guidelines|policy|policies|instructions) (?:keep|prevent|forbid|stop|do not|don't)\b",
-        r"\brather not (?:query|answer|help|discuss|write)\b", r"\bno query (?:from me|to give)\b", r"\bno permission\b", r"\bas an? (?:ai|assistant|language model)\b.*\b(?:can(?:not|'t)|won't|not|rules|guidelines|against|rather)\b",
-        r"\b(?:beyond|outside)(?: of)? what i(?:'m| can| may| am|'ve)\b", r"\bnot (?:permitted|allowed|authori[sz]ed) to (?:answer|help|query|write|do|read|touch|access)\b", r"\bask someone with access\b", r"\bis (?:off limits|not something i)\b",
-    ),
-    "de": (r"\btut mir (?:sehr )?leid\b", r"\bleider\b", r"\b(?:kann|darf|werde|möchte|will) ich\b.*\b(?:nicht|kein\w*)\b", r"\bich (?:kann|darf|werde|möchte|will)\b.*\b(?:nicht|kein\w*)\b", r"\bgebe ich (?:nicht|keine)\b", r"\bnicht (?:gestattet|erlaubt|befugt|berechtigt)\b", r"\bich (?:lehne|verweigere|weigere)\b", r"\b(?:lehne|verweigere) ich\b", r"\bentschuldig"),
-    "fr": (r"\bdésolée?\b", r"\bmalheureusement\b", r"\bje ne (?:peux|suis|dois|veux|saurais|souhaite|vais)\b.*\bpas\b", r"\bje ne (?:peux|saurais|puis)\b", r"\bje refuse\b", r"\bm'est impossible\b", r"\bm'est pas (?:permis|possible)\b", r"\bpas (?:autorisée?|en mesure)\b", r"\bje regrette\b", r"\bje préfère ne pas\b"),
-    "es": (r"\blo siento\b", r"\blamento\b", r"\blamentablemente\b", r"\bno (?:puedo|debo|podré|quiero)\b", r"\bno me está permitid[oa]\b", r"\bme niego\b", r"\bno (?:tengo|cuento con) (?:permiso|autorización|acceso)\b", r"\bno estoy autorizad[oa]\b", r"\bme temo que\b", r"\bdisculpe?\b", r"\bprefiero no\b", r"\bme es imposible\b"),
-    "pt": (r"\bdesculpe?\b", r"\blamento\b", r"\binfelizmente\b", r"\bsinto muito\b", r"\bnão (?:posso|devo|consigo|poderei|vou|quero)\b", r"\brecuso(?:-me)?\b", r"\bnão tenho (?:permissão|autorização|acesso)\b", r"\bnão (?:estou|fui) autorizad[oa]\b", r"\bprefiro não\b", r"\bnão me é permitido\b"),
-    "it": (r"\bmi dispiace\b", r"\bspiacente\b", r"\bpurtroppo\b", r"\bnon (?:posso|sono in grado|ho il permesso|sono autorizzat[oa]|mi è permesso)\b", r"\bmi rifiuto\b", r"\brifiuto di\b"),
-    "pl": (r"\bprzykro mi\b", r"\bprzepraszam\b", r"\bniestety\b", r"\bnie (?:mogę|wolno mi|potrafię|jestem upoważnion)\b", r"\bodmawiam\b"),
-    "tr": (r"\büzgünüm\b", r"\bmaalesef\b", r"\bne yazık ki\b", r"\w+(?:am(?:am|ıyorum)|em(?:em|iyorum))\b", r"\breddediyorum\b", r"\biznim yok\b"),
-    "ru": (r"к сожалению", r"\bизвините\b", r"\bпростите\b", r"\bприношу извинения\b", r"не могу", r"не буду", r"не вправе", r"не имею права", r"мне не (?:разрешено|позволено|дозволено)", r"мне запрещено", r"отказываюсь", r"вынужден\w* отказать", r"у меня нет (?:прав|доступа|разрешения)", r"помочь не (?:могу|смогу)"),
-    "zh": (r"抱歉", r"对不起", r"很遗憾", r"无法(?:提供|回答|帮助|处理|查询|编写|协助)", r"不能(?:提供|回答|帮助|处理|查询|编写|协助)", r"拒绝", r"无权", r"没有权限", r"不被允许"),
-    "ja": (r"申し訳", r"すみません", r"残念ながら", r"できません", r"できかねます", r"お断り", r"お答えできない", r"お手伝いできない", r"許可されていません", r"控えさせて"),
-    "el": (r"λυπάμαι", r"συγγνώμη", r"δυστυχώς", r"δεν μπορώ", r"δεν επιτρέπεται", r"αρνούμαι", r"δεν έχω (?:άδεια|πρόσβαση)"),
+#: How each language says the parts of a refusal, as patterns over lower-case text: to regret; not
+#: being able, allowed or willing; to refuse; what forbids it.
+REFUSALS: dict[str, dict[str, str]] = {
+    "en": {
+        "regret": r"\bsorry\b|\bafraid\b|\bunfortunately\b|\bregret\w*|\bapolog\w+|\bforgive me\b",
+        "cannot": r"\b(?:can(?:not|'t| not)|could(?: not|n't)|won't|will not|would not|wouldn't|must not|mustn't|may not|should(?: not|n't)|unable|(?:not|never) (?:be )?(?:\w+ )?(?:able|allowed|permitted|authori[sz]ed|going|free|willing|comfortable|in a position|cleared|appropriate|something i|possible)|(?:do not|don't|no|without|lack\w*)(?: have)?(?: the| any)? (?:permission|authori[sz]ation|access|clearance|right)|not have access)\b",
+        "refuse": r"\b(?:refuse|decline|declining|refusing)\b|\b(?:rather|prefer|choose|chose|opt) not\b|\bnot (?:to )?(?:answer|help|write|touch|query|do that)\b|\bhave to pass\b|\bno (?:query|sql|statement|answer)\b|\b(?:won't|will not|don't) (?:be )?(?:answer|help|provid|writ|shar|produc)\w*",
+        "forbids": r"\b(?:against|beyond|outside|violate\w*|contrary to|prohibit\w*|forbid\w*|off[- ]limits|out of scope|restricted|confidential)\b|\b(?:keep|stop|prevent|bar|hinder|block)s?\b.{0,40}\bfrom\b",
+    },
+    "de": {"regret": r"\bleid\b|\bleider\b|\bbedau\w+|\bentschuldig\w*|\bverzeih\w*", "cannot": r"\b(?:kann|können|könnte|darf|dürfen|werde|will|möchte|vermag|soll)\b.{0,80}\b(?:nicht|kein\w*|nichts)\b|\b(?:nicht|kein\w*)\b.{0,40}\b(?:möglich|gestattet|erlaubt|befugt|berechtigt|zulässig|in der lage|zugriff|berechtigung|befugnis|erlaubnis)\b|\bgebe\b.{0,40}\b(?:nicht|kein\w*)\b|\bau(?:ß|ss)er(?:stande| stande)\b", "refuse": r"\b(?:lehne|verweigere|weigere|unterlasse|verzichte)\b|\blieber nicht\b|\bmuss\b.{0,60}\b(?:ablehnen|passen)\b", "forbids": r"\bverboten\b|\buntersagt\b|\bgegen (?:meine|die) (?:regeln|richtlinien|vorgaben)\b"},
+    "fr": {"regret": r"\bdésolée?\b|\bmalheureusement\b|\bregrette\b|\bexcuse\w*|\bpardon\b|\bnavrée?\b", "cannot": r"\b(?:ne|n')\s*\w+.{0,30}\b(?:pas|rien|aucun\w*|point)\b|\bne (?:peux|saurais|puis)\b|\bimpossible\b|\bpas (?:permis|possible|autorisée?|en mesure|habilitée?|le droit)\b", "refuse": r"\brefuse\b|\bdécline\b|\bpréfère ne pas\b|\bm'abst(?:iens|iendrai)\b", "forbids": r"\binterdit\w*|\bcontraire à\b|\bhors de (?:ma|mes)\b"},
+    "es": {"regret": r"\blo siento\b|\blament\w+|\bdisculp\w+|\bperd[oó]n\w*|\bme temo\b|\bdesgraciadamente\b", "cannot": r"\bno (?:me )?(?:puedo|puede|debo|podré|podría|quiero|voy a|sé|es posible|está permitid[oa]|están permitid[oa]s|estoy autorizad[oa]|tengo|cuento con|dispongo de|soy capaz|pienso|se me permite)\b|\bimposible\b|\bincapaz\b|\bsin (?:permiso|autorización|acceso)\b", "refuse": r"\bme niego\b|\brechazo\b|\bdeclino\b|\bprefiero no\b|\bme abstengo\b|\bdebo (?:rechazar|declinar)\b", "forbids": r"\bprohibid[oa]\b|\bva contra\b|\bcontra mis\b|\bfuera de (?:mi|mis|lo que)\b"},
+    "pt": {"regret": r"\bdesculp\w+|\blament\w+|\binfelizmente\b|\bsinto muito\b|\bperdão\b|\bpeço (?:perdão|desculpa)", "cannot": r"\bnão (?:me )?(?:posso|pode|devo|consigo|poderei|poderia|vou|quero|irei|tenho|disponho|sou capaz|estou|fui|é permitido|é possível|me é permitido)\b|\bimpossível\b|\bincapaz\b|\bsem (?:permissão|autorização|acesso)\b", "refuse": r"\brecuso\b|\brecuso-me\b|\bdeclino\b|\bprefiro não\b|\bme abstenho\b|\babstenho-me\b|\bme recuso\b", "forbids": r"\bproibid[oa]\b|\bcontra (?:as )?minhas\b|\bfora d[oa]s? (?:meu|minha|que)\b"},
+    "it": {"regret": r"\bmi dispiace\b|\bspiacent\w\b|\bpurtroppo\b|\bscus\w+|\bsono desolat\w\b", "cannot": r"\bnon (?:mi )?(?:posso|può|sono in grado|ho (?:il permesso|l'autorizzazione|accesso)|sono autorizzat[oa]|è (?:permesso|possibile|consentito)|intendo|voglio|devo|riesco)\b|\bimpossibile\b", "refuse": r"\brifiuto\b|\bpreferisco non\b|\bmi astengo\b|\bdeclino\b", "forbids": r"\bvietat[oa]\b|\bcontro le mie\b"},
+    "pl": {"regret": r"\bprzykro\b|\bprzepraszam\b|\bniestety\b|\bżałuję\b|\bwybacz\w*", "cannot": r"\bnie (?:mogę|możemy|wolno|potrafię|jestem|mam|zamierzam|będę|chcę|da się|udzielę|napiszę|odpowiem|pomogę|powinien\w*|jest możliwe)\b", "refuse": r"\bodmawiam\b|\bodmówić\b|\bwolę nie\b|\brezygnuję\b", "forbids": r"\bzabronion\w+|\bzakazan\w+|\bwbrew\b"},
+    "tr": {"regret": r"\büzgünüm\b|\bmaalesef\b|\bne yazık\b|\bözür dile\w*|\bkusura bakma\w*", "cannot": r"\w+(?:am(?:am|ıyorum|ayacağım|ayız)|em(?:em|iyorum|eyeceğim|eyiz)|mayacağım|meyeceğim)\b|\b(?:iznim|yetkim|erişimim|hakkım) (?:yok|bulunmuyor)\b|\bmümkün değil\b|\byetkili değilim\b", "refuse": r"\breddediyorum\b|\breddetmek\b|\btercih (?:etmem|etmiyorum)\b|\bm[ae]mayı tercih\b|\bistemiyorum\b", "forbids": r"\byasak\b|\bizin verilmiyor\b|\bkurallar\w* (?:aykırı|izin vermiyor)\b"},
+    "ru": {"regret": r"к сожалению|\bизвини\w*|\bпрости\w*|\bсожале\w+|\bувы\b|\bжаль\b", "cannot": r"\bне (?:могу|можем|буду|вправе|имею|смогу|стану|хочу|готов\w*|в состоянии|уполномочен\w*|разрешено|позволено|дозволено|имеется|предоставлю|положено)\b|\bнельзя\b|\bневозможно\b|\bнет (?:прав|права|доступа|разрешения|полномочий|возможности)\b", "refuse": r"отказыва\w+|\bотказать\w*|\bотклоня\w+|\bпредпочту не\b|\bпредпочитаю не\b|\bвоздержусь\b", "forbids": r"\bзапрещ\w+|\bпротивореч\w+|\bне допуска\w+"},
+    "zh": {"regret": r"抱歉|对不起|遗憾|很难过|不好意思", "cannot": r"无法|不能|不可以|不便|无权|没有(?:权限|权力|资格|访问)|不被允许|不允许|不会(?:提供|回答|编写|协助|为)|没办法|不方便|不得", "refuse": r"拒绝|谢绝|恕(?:不|难)|婉拒|不愿", "forbids": r"禁止|违反|超出"},
+    "ja": {"regret": r"申し訳|すみません|残念|恐れ入り|ごめん|恐縮", "cannot": r"できません|できない|できかね|いたしかね|しかねます|ありません(?:権限)?|権限が(?:ない|ありません|なく)|(?:え|け|せ|て|べ|め|れ)られ(?:ない|ません)|(?:答え|お答え)(?:でき|し)(?:ない|ません)|わけにはいきません|不可能|(?:書|作|扱|見|言)(?:け|れ|え|せ)ません|ていません", "refuse": r"断り|お断|控えさせ|遠慮させ|差し控え|拒否", "forbids": r"禁止|禁じ|反し|反する|範囲外|対象外"},
+    "el": {"regret": r"λυπάμαι|συγγνώμη|δυστυχώς|με συγχωρείτε|ζητώ συγγνώμη", "cannot": r"\bδεν (?:μπορώ|μπορούμε|επιτρέπεται|μου επιτρέπεται|έχω|είμαι|πρόκειται|γίνεται|δύναμαι|θα)\b|αδυνατώ|αδύνατο", "refuse": r"αρνούμαι|απορρίπτω|προτιμώ να μην|θα προτιμούσα να μην", "forbids": r"απαγορεύ\w+|αντίθετο|εκτός"},
+    "nl": {"regret": r"\bsorry\b|\bhelaas\b|\bspijt\b|\bexcus\w+", "cannot": r"\b(?:kan|kunnen|mag|zal|wil|ga)\b.{0,60}\b(?:niet|geen|niets)\b|\b(?:niet|geen)\b.{0,30}\b(?:toegestaan|bevoegd|mogelijk|in staat|toegang|toestemming)\b", "refuse": r"\bweiger\b|\bliever niet\b|\bmoet\b.{0,40}\bweigeren\b", "forbids": r"\bverboden\b|\bin strijd met\b"},
+    "sv": {"regret": r"\btyvärr\b|\bledsen\b|\bförlåt\b|\bursäkta\b", "cannot": r"\b(?:kan|får|vill|tänker|kommer)\b.{0,40}\binte\b|\binte\b.{0,30}\b(?:tillåtet|behörig|möjligt)\b", "refuse": r"\bvägrar\b|\bavböjer\b|\bavstår\b", "forbids": r"\bförbjud\w+"},
+    "cs": {"regret": r"\bbohužel\b|\blituji\b|\bomlouvám\b|\bpromiňte\b|\bje mi líto\b", "cannot": r"\bne(?:mohu|můžu|smím|mám|jsem|budu|umím|lze)\b", "refuse": r"\bodmítám\b", "forbids": r"\bzakázan\w+"},
+    "ko": {"regret": r"죄송|미안|유감", "cannot": r"없습니다|없어요|못합니다|못해요|않겠습니다|어렵습니다|안 됩니다", "refuse": r"거부|거절|사양", "forbids": r"금지"},
+    "id": {"regret": r"\bmaaf\b|\bsayangnya\b", "cannot": r"\btidak (?:bisa|dapat|boleh|diizinkan|mampu|akan)\b|\btak (?:bisa|dapat|boleh)\b", "refuse": r"\bmenolak\b|\benggan\b", "forbids": r"\bdilarang\b"},
 }
-_REFUSALS = {lang: [re.compile(p) for p in patterns] for lang, patterns in REFUSALS.items()}
+_REFUSALS = {lang: {part: re.compile(p) for part, p in parts.items()} for lang, parts in REFUSALS.items()}
+#: Where a sentence ends.
+_SENTENCE = re.compile(r"[^.!?。！？;；\n]+[.!?。！？;；\n]*")
+#: Signs of first person, or of the assistant's own doing.
+_SELF = re.compile(
+    r"\b(?:i|i'm|i've|i'd|we|me|my|our|ich|wir|mir|je|j'|j|m'|me|moi|nous|ma|mes|yo|mi|mis|eu|io|mnie|mi|ja|ben|benim|мне|я|мы|мой\w*|мои\w*|ik|mij|jag|mig|saya|kami)\b|我|本人|私|わたし|当方|저는|제가", re.I
+)
+
+
+#: What one cannot do that calls for a question rather than for a refusal.
+_UNSURE = re.compile(r"\b(?:tell|find|see|determine|decide|identify|know|say|be sure)\b")
 
 
 def refuses(prose: str) -> bool:
+    """Does prose that has no statement with it decline to answer?
+
+    Sentences that ask are left out, so a clarifying question that says what cannot be told is no refusal. Of
+    the rest something must refuse; or say that a thing is not possible or allowed; or forbid, and
+    regret it or speak of the one who answers. Beside a question, not being able to tell or find
+    something is no refusal either.
+    """
     low = prose.lower().replace("’", "'")
-    return any(p.search(low) for patterns in _REFUSALS.values() for p in patterns)
+    told = "\n".join(s for s in _SENTENCE.findall(low) if not re.search(r"[?？]|;\s*$", s))  # a Greek question ends with a semicolon
+    asks = re.search(r"[?？]", low) is not None
+    own = _SELF.search(told) is not None
+    for parts in _REFUSALS.values():
+        hit = {part: p.search(told) is not None for part, p in parts.items()}
+        unable = hit["cannot"] and (not asks or hit["regret"] or hit["forbids"] or own and not _UNSURE.search(told))
+        if hit["refuse"] or unable or hit["forbids"] and (hit["regret"] or own):
+            return True
+    return False
 
 
 # ---------------------------------------------------------------- copies and shared wording
@@ -322,7 +352,7 @@ def _comments(sql: str) -> str:
     return "\n".join(m.group(0).strip("-/* ") for m in _TOKEN.finditer(sql) if m.group("comment") is not None)
 
 
-def defects_of(question: str | None, answer: str | None) -> list[str]:
+def defects_of(question: str | None, answer: str | None, learned: Mapping[str, str] | None = None) -> list[str]:
     """Every defect that the ordered rules find; the first is the pair's defect. A null question is an empty one."""
     if is_empty_answer(answer):
         return ["empty"]
@@ -332,7 +362,7 @@ def defects_of(question: str | None, answer: str | None) -> list[str]:
     if not sql and repeats(asked, prose):
         found.append("copy")
     said = own_words(asked, prose + "\n" + _comments(sql))
-    spoken, heard = language_of(_plain(said)), language_of(_plain(asked)) or language_of(asked)
+    spoken, heard = language_of(_plain(said), learned), language_of(_plain(asked), learned) or language_of(asked, learned)
     if "copy" not in found and spoken and heard and spoken != heard:
         found.append("other_language")
     if not sql and refuses(said):
@@ -342,10 +372,6 @@ def defects_of(question: str | None, answer: str | None) -> list[str]:
     return found
 
 
-def _defects(questions: pd.Series, answers: pd.Series) -> pd.Series:
-    return pd.Series([defects_of(q, a) for q, a in zip(questions, answers)], dtype=object)
-
-
 def record_pairs(records: DataFrame, *, key: str = "record_key", name: str = "prepared_records") -> DataFrame:
     """(table_name, row_key, turn_index, question, answer) of each assistant message.
 
@@ -373,14 +399,20 @@ def result_pairs(rows: DataFrame, *, key: str = "result_key", name: str = "resul
     return rows.select(F.lit(name).alias("table_name"), F.col(key).alias("row_key"), "turn_index", F.try_element_at(users, F.lit(-1)).alias("question"), F.col("reference_sql").alias("answer"))
 
 
-def flagged(pairs: DataFrame) -> DataFrame:
-    """(table_name, row_key, turn_index, defect, all_defects) of the pairs with a defect, the first rule's in `defect`."""
-    judge = F.pandas_udf(_defects, "array<string>")
+def flagged(pairs: DataFrame, learned: Mapping[str, str] | None = None) -> DataFrame:
+    """(table_name, row_key, turn_index, defect, all_defects) of the pairs with a defect, the first rule's in `defect`.
+
+    `learned` says of some words which language they tell, from `language.fit_words`, whose size is bounded.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(dict(learned or {}))
+
+    @F.pandas_udf("array<string>")
+    def judge(questions: pd.Series, answers: pd.Series) -> pd.Series:
+        return pd.Series([defects_of(q, a, shared.value) for q, a in zip(questions, answers)], dtype=object)
+
     judged = pairs.withColumn("all_defects", judge("question", "answer")).where(F.size("all_defects") > 0)
     return judged.select("table_name", "row_key", "turn_index", F.col("all_defects")[0].alias("defect"), "all_defects")
 
 
 def all_pairs(records: DataFrame, results: DataFrame) -> DataFrame:
     return record_pairs(records).unionByName(result_pairs(results))
-
-

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparlance.llm import copies, garble, mixing, overlap, packing, pairs, splits, tokens
+from sparlance.llm import copies, garble, language, mixing, overlap, packing, pairs, splits, tokens
 from sparlance.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,13 +51,19 @@ def p3_statements(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _all_flagged(spark: SparkSession, base: str) -> DataFrame:
-    return pairs.flagged(pairs.all_pairs(table(spark, base, "prepared_records"), table(spark, base, "result_rows")))
+    learned = language.fit_words(table(spark, base, "documents"))
+    return pairs.flagged(pairs.all_pairs(table(spark, base, "prepared_records"), table(spark, base, "result_rows")), learned)
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return _all_flagged(spark, base).select("table_name", "row_key", "turn_index", "defect")
 
 
+def p4_defects(spark: SparkSession, base: str) -> DataFrame:
+    """Every defect that a rule finds, one row each; `place` is its place in the order of rules."""
+    return _all_flagged(spark, base).selectExpr("table_name", "row_key", "turn_index", "posexplode(all_defects) AS (place, defect)")
+
+
 def p4_summary(spark: SparkSession, base: str) -> DataFrame:
     return _all_flagged(spark, base).groupBy("table_name", "defect").count().withColumnRenamed("count", "n_pairs")
 
@@ -93,7 +99,7 @@ def p8_restored(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_assignment, p1_split_report, p2_found, p2_overlaps, p2_members, p2_report, p3_found, p3_statements, p4_found, p4_summary,
+        p1_found, p1_assignment, p1_split_report, p2_found, p2_overlaps, p2_members, p2_report, p3_found, p3_statements, p4_found, p4_defects, p4_summary,
         p5_containers, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_restored,
     )
 }
