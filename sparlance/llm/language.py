@@ -13,7 +13,7 @@ from sparlance.llm.common import trimmed
 
 #: Common function words, by language (ISO 639-1).
 WORDS: dict[str, str] = {
-    "en": "the of and to in is are was were be been for with that this these those which what who whom whose how when where why many much by on at from as it its an a or not no nor if any there here their they them he she his her do does did have has had can could should would will shall may might must i you we me my your our us but so than then too very just only also both each every few more most other some such own same about above after again against all because before below between down during into off once out over through under until up while won't can't don't doesn't isn't aren't i'm it's",
+    "en": "the of and to in is are was were be been for with that this these those which what who whom whose how when where why many much by on at from as it its an a or not no nor if any there here their they them he she his her do does did have has had can could should would will shall may might must i you we me my your our us but so than then too very just only also both each every few more most other some such own same about above after again against all because before below between down during into off once out over through under until up while per won't can't don't doesn't isn't aren't i'm it's",
     "de": "der die das des dem den ein eine einer eines einem einen und oder aber nicht kein keine keinen ist sind war waren wird werden wurde wurden für mit von zu zum zur im in am auf aus bei nach über unter vor durch gegen ohne um wie viele was wer wen wem welche welcher welches wo wann warum ich du er sie es wir ihr mich mir dich dir ihn ihm uns euch sich mein dein sein hat haben hatte kann können konnte darf dürfen soll sollen muss müssen will wollen möchte je hier dort dann auch noch nur schon sehr so als wenn weil dass daß ob doch denn alle jede jeder jedes jeden dieser diese dieses meinen bitte leider zwischen deren dessen",
     "fr": "la le les l un une des du de d et ou mais ne pas est sont était étaient pour avec dans sur sous par au aux ce cet cette ces que qui quoi dont où combien quel quelle quels quelles comment quand pourquoi je tu il elle nous vous ils elles me te se mon ma mes ton sa son ses leur leurs notre votre y en si plus moins très aussi comme être avoir ont avait fait faire peut peux pouvez puis suis sans entre chaque tout tous toute toutes même déjà encore ici là voici cela chez vers après avant depuis pendant aucun aucune m n s j c qu",
     "es": "el la los las un una unos unas de del al y o pero no es son era eran para por con en sobre sin según entre hay cuál cuáles cuántos cuántas qué quién quiénes dónde cuándo cómo cuando donde como que cuyo cuya cuyos cuyas sea fue ser está están estar yo tú él ella nosotros ustedes me te se le les lo mi tu su sus nuestro este esta esto estos estas ese esa eso más menos muy también ya si porque desde hasta todo todos toda todas cada aquí puedo puede pueden tengo tiene he ha han",
@@ -98,7 +98,7 @@ def scores(text: str, learned: Mapping[str, str] | None = None) -> dict[str, flo
     """Evidence for each language with Latin script: the weights of its words in the text."""
     got: dict[str, float] = {"es": 0.7} if re.search("[¿¡]", text) else {}
     for w in _TOKEN.findall(text.lower().replace("’", "'")):
-        for part in {w, *w.split("'")}:
+        for part in {w} if w in _BASIC else {w, *w.split("'")}:
             known = _BASIC.get(part)
             if known:
                 for lang, weight in known.items():
