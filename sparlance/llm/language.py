@@ -15,17 +15,17 @@ from sparlance.llm.common import trimmed
 WORDS: dict[str, str] = {
     "en": "the of and to in is are was were be been for with that this these those which what who whom whose how when where why many much by on at from as it its an a or not no nor if any there here their they them he she his her do does did have has had can could should would will shall may might must i you we me my your our us but so than then too very just only also both each every few more most other some such own same about above after again against all because before below between down during into off once out over through under until up while per won't can't don't doesn't isn't aren't i'm it's",
     "de": "der die das des dem den ein eine einer eines einem einen und oder aber nicht kein keine keinen ist sind war waren wird werden wurde wurden für mit von zu zum zur im in am auf aus bei nach über unter vor durch gegen ohne um wie viele was wer wen wem welche welcher welches wo wann warum ich du er sie es wir ihr mich mir dich dir ihn ihm uns euch sich mein dein sein hat haben hatte kann können konnte darf dürfen soll sollen muss müssen will wollen möchte je hier dort dann auch noch nur schon sehr so als wenn weil dass daß ob doch denn alle jede jeder jedes jeden dieser diese dieses meinen bitte leider zwischen deren dessen",
-    "fr": "la le les l un une des du de d et ou mais ne pas est sont était étaient pour avec dans sur sous par au aux ce cet cette ces que qui quoi dont où combien quel quelle quels quelles comment quand pourquoi je tu il elle nous vous ils elles me te se mon ma mes ton sa son ses leur leurs notre votre y en si plus moins très aussi comme être avoir ont avait fait faire peut peux pouvez puis suis sans entre chaque tout tous toute toutes même déjà encore ici là voici cela chez vers après avant depuis pendant aucun aucune m n s j c qu",
+    "fr": "la le les l un une des du de d et ou mais ne pas est sont était étaient pour avec dans sur sous par au aux ce cet cette ces que qui quoi dont où combien quel quelle quels quelles comment quand pourquoi je tu il elle nous vous ils elles me te se mon ma mes ton sa son ses leur leurs notre votre y en si plus moins très aussi comme être avoir ont avait fait faire peut peux pouvez puis suis sans entre chaque tout tous toute toutes même déjà encore ici là voici voilà cela chez vers après avant depuis pendant aucun aucune m n s j c qu",
     "es": "el la los las un una unos unas de del al y o pero no es son era eran para por con en sobre sin según entre hay cuál cuáles cuántos cuántas qué quién quiénes dónde cuándo cómo cuando donde como que cuyo cuya cuyos cuyas sea fue ser está están estar yo tú él ella nosotros ustedes me te se le les lo mi tu su sus nuestro este esta esto estos estas ese esa eso más menos muy también ya si porque desde hasta todo todos toda todas cada aquí puedo puede pueden tengo tiene he ha han",
     "pt": "o a os as um uma uns umas de do da dos das no na nos nas ao à aos às e ou mas não é são era eram para por pelo pela com em sobre sem entre quantos quantas qual quais que quem onde quando como porque cujo cuja cujos cujas seja foi ser está estão estar eu você ele ela nós vocês me te se lhe meu minha seu sua seus suas nosso este esta isto esse essa isso mais menos muito também já só se desde até todo todos toda todas cada aqui posso pode podem tenho tem há",
-    "it": "il lo la i gli le un uno una di del della dei delle dello al alla ai alle da dal dalla dalle in nel nella nei con su sul sulla per tra fra e o ma non è sono era erano che chi cui quale quali quanti quante quanto dove quando come perché io tu lui lei noi voi loro mi ti ci vi si me mio tuo suo sua suoi questo questa questi queste quello quella più meno molto anche già solo se ogni tutto tutti tutte ho ha hanno posso può possono essere avere stato",
-    "pl": "i w we z ze na do od dla po przez przy o u nie jest są był była było były się to ten ta te tego tej tym tych że który która które których ile jaki jaka jakie jak gdzie kiedy dlaczego kto co oraz lub albo ale czy jako ja ty on ona my wy oni mnie mi ci mu jej ich nas nam mój twój jego każdy każda każdego wszystkie także też tylko już bardzo więcej mniej pod nad między bez aby żeby jeśli bo mogę może być został została",
-    "tr": "ve veya ile için bir bu şu o da de mi mı mu mü ne nasıl nerede nereye kaç hangi kim neden her değil var yok olan olarak gibi daha çok az ama fakat ben sen biz siz onlar bana sana ona bize benim senin onun bizim sonra önce göre kadar bütün tüm hiç ise eğer çünkü ancak sadece üzerinde altında içinde olduğu",
+    "it": "il lo la i gli le un uno una di del della dei delle dello al alla ai alle da dal dalla dalle in nel nella nei con su sul sulla per tra fra e o ma non è sono era erano che chi cui quale quali quanti quante quanto dove quando come perché io tu lui lei noi voi loro mi ti ci vi si me mio tuo suo sua suoi questo questa questi queste quello quella più meno molto anche già solo se ogni tutto tutti tutte ho ha hanno posso può possono essere avere stato ecco qui",
+    "pl": "i w we z ze na do od dla po przez przy o u nie jest są był była było były się to ten ta te tego tej tym tych że który która które których ile jaki jaka jakie jak gdzie kiedy dlaczego kto co oraz lub albo ale czy jako ja ty on ona my wy oni mnie mi ci mu jej ich nas nam mój twój jego każdy każda każdego wszystkie także też tylko już bardzo więcej mniej pod nad między bez aby żeby oto jeśli bo mogę może być został została",
+    "tr": "ve veya ile için bir bu şu o da de mi mı mu mü ne nasıl nerede nereye kaç hangi kim neden her değil var yok olan olarak gibi daha çok az ama fakat ben sen biz siz onlar bana sana ona bize benim senin onun bizim sonra önce göre kadar bütün tüm hiç ise eğer çünkü ancak sadece üzerinde altında içinde olduğu işte",
     "nl": "de het een van en of maar niet geen is zijn was waren wordt werd voor met in op aan bij uit naar over onder door hoe veel wat wie welke welk waar wanneer waarom ik jij je u hij zij wij we ze me mij mijn jouw ons onze hun haar dit dat deze die er hier daar dan ook nog maar als omdat kan kunnen mag moet wil alle elke zeer tussen zonder",
     "sv": "och eller men inte är var för med av till från på i om under över hur många mycket vad vem vilken vilka var när varför jag du han hon vi ni de mig dig oss min din sin det den detta denna dessa som att så än också bara kan ska vill måste har hade alla varje här där mellan utan",
     "da": "og eller men ikke er var for med af til fra på i om under over hvor mange meget hvad hvem hvilken hvilke hvornår hvorfor jeg du han hun vi de mig dig os min din sin det den dette denne disse som at så også kun kan skal vil må har havde alle hver her der mellem uden",
-    "cs": "a i nebo ale ne není je jsou byl byla bylo být v ve z ze na do od pro po přes při o u se si to ten ta ty tento tato který která které kolik jaký jaká jaké jak kde kdy proč kdo co já ty on ona my vy oni mě mi mu její jejich nás nám můj tvůj jeho každý každá všechny také jen už velmi více méně pod nad mezi bez aby pokud protože mohu může",
-    "ro": "și sau dar nu este sunt era erau pentru cu de din la pe în prin despre fără între câte câți care cine ce unde când cum eu tu el ea noi voi ei mă te se îmi meu mea tău său lui acest această acesta mai foarte și doar fiecare toate toți poate pot trebuie",
+    "cs": "a i nebo ale ne není je jsou byl byla bylo být v ve z ze na do od pro po přes při o u se si to ten ta ty tento tato který která které kolik jaký jaká jaké jak kde kdy proč kdo co já ty on ona my vy oni mě mi mu její jejich nás nám můj tvůj jeho každý každá všechny také jen už velmi více méně pod nad mezi bez aby zde pokud protože mohu může",
+    "ro": "și sau dar nu este sunt era erau pentru cu de din la pe în prin despre fără între câte câți care cine ce unde când cum eu tu el ea noi voi ei mă te se îmi meu mea tău său lui acest această acesta mai foarte și doar fiecare toate toți poate pot trebuie iată",
     "hu": "a az és vagy de nem van volt vannak lesz hogy ha mert mint aki ami amely melyik hány mennyi mi ki hol mikor hogyan én te ő mi ti ők ez azok ezek egy meg már csak is nagyon minden között nélkül kell lehet",
     "fi": "ja tai mutta ei en ole on olivat oli ovat että jos koska kun kuin joka mikä mitä kuka missä milloin miten kuinka monta minä sinä hän me te he tämä tuo se nämä myös vain hyvin kaikki joku",
     "id": "dan atau tetapi tidak bukan adalah ialah untuk dengan dari ke di pada oleh yang ini itu apa siapa mana berapa bagaimana kapan mengapa saya kamu anda dia kami kita mereka sudah akan bisa boleh dapat juga hanya lebih sangat semua setiap antara tanpa karena jika maaf bagi sila tiada ada",
