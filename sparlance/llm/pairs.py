@@ -340,7 +340,7 @@ def own_words(question: str, prose: str, run: int = 2) -> str:
 
 
 _NAME = re.compile(r"(?<![\w'’])(?:[A-Z]{1,3}-?\d+\s+)?[A-Z][\w'’&-]*(?:\s+(?:&\s+)?[A-Z][\w'’&-]*)+")
-_CODE = re.compile(r"\b\w*[_\d]\w*\b|'[^'\n]*'|\"[^\"\n]{0,80}\"")
+_CODE = re.compile(r"\b\w*[_\d]\w*\b|(?<!\w)'[^'\n]*'(?!\w)|\"[^\"\n]{0,80}\"")
 
 
 def _plain(text: str) -> str:
