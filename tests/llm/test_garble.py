@@ -103,3 +103,33 @@ def test_single_sequence_in_code_pages_of_other_scripts(spark, read):
 def test_empty_tables(spark):
     assert garble.garbled_documents(docs(spark, [])).count() == 0
     assert garble.restored_documents(docs(spark, [(1, None), (2, "ascii")])).count() == 0
+
+
+def model_of(words):
+    import numpy as np
+
+    pairs, counts = np.zeros(garble.PAIRS, dtype=np.int64), {}
+    for w, n in words.items():
+        for c in set(w):
+            if ord(c) > 127:
+                counts[c] = counts.get(c, 0) + n
+        for a, b in zip(("", *w), (*w, "")):
+            pairs[garble.pair_bucket(a, b)] += n
+            pairs[garble.pair_bucket(a, "any")] += n
+    return garble.Model(counts, 1000, pairs)
+
+
+def test_lattice_has_wildcards_for_lost_bytes():
+    model = model_of({"café": 12, "cave": 30, "Łukasz": 5, "größe": 9, "über": 30, "привет": 20})
+    lost = garble.LOST
+    assert garble.decode("caf" + lost, None, model, {"café": 12}) == "café"  # by the word's frequency
+    assert garble.decode("cafÃ", "latin_1", model, {"café": 12}) == "café"  # the second byte was dropped
+    assert garble.decode("cafÃ" + lost, "cp1252", model, {"café": 12}) == "café"
+    assert garble.decode("Åukasz", "latin_1", model) == "Łukasz"  # a name the corpus need not have
+    assert garble.decode("gr" + lost * 2 + "e", None, model, {"größe": 9}) == "größe"
+    assert garble.decode("gr" + lost + "e", None, model, {"größe": 9}) == "größe"
+    assert garble.decode("пр" + lost + "вет", None, model, {"привет": 20}) == "привет"
+    assert garble.decode(lost, None, model) is None and garble.decode("x" + lost, None, model) is None
+    assert garble.decode("cave", "latin_1", model) is None
+    ends = {c for _, c, _ in garble.edges("Ã" + lost, "latin_1", model)[0]}
+    assert {"é", "ö", "ü", "Ã"} <= ends and "Ł" not in ends
