@@ -70,6 +70,8 @@ def passages_of(text: str) -> list[tuple[int, set[str]]]:
     """(digest, words) of each passage with words beyond ASCII; the same words give the same digest, whatever else it says."""
     out = {}
     for passage in _END.split(text):
+        if passage.isascii() and "&#" not in passage:
+            continue
         if words := words_of(passage):
             digest = hashlib.blake2b("\n".join(sorted(words)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
             out[int.from_bytes(digest, "big", signed=True)] = words
