@@ -6,6 +6,7 @@ Doubles are rounded to six digits on both sides, as sums are added up in another
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -368,19 +369,9 @@ def missing_databases(spark: SparkSession, base: str) -> DataFrame:
 def gold_metric_labels(spark: SparkSession, base: str) -> DataFrame:
     """Why reference statements amount to a metric query of their database's semantic model, or do not."""
     def derive(sqls: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        out = []
-        cubes: dict[str, dict] = {}
-        for s, t in zip(sqls, texts):
-            label = sqlinfo.plan_label(s)
-            if not label["parseable"] or t is None:
-                out.append((None, "not parsable" if t is not None else "no semantic model"))
-                continue
-            if t not in cubes:
-                cubes[t] = semantic.parse_cubes(t)
-            tree = sqlinfo.parse_repaired(s)
-            names = {(str(x.parts["alias"]) or x.value).lower(): x.value.lower() for x in tree.walk() if x.kind == "table"} if isinstance(tree, sqltree.Node) else {}
-            out.append(semantic.derive_metric(cubes[t], label, names, s))
-        return pd.DataFrame(out, columns=["dsl", "why"])
+        model = lru_cache(maxsize=64)(semantic.read_model)
+        out = [semantic.derive_metric(model(t) if t is not None else [], s) for s, t in zip(sqls, texts)]
+        return pd.DataFrame([(d, "no semantic model" if t is None else w) for (d, w), t in zip(out, texts)], columns=["dsl", "why"])
 
     models = V.semantic_text(table(spark, base, "database_schemas"))
     rows = _results(spark, base).where("reference_sql is not null").groupBy("reference_sql", F.lower(F.trim("database_id")).alias("db_id")).agg(F.count("*").alias("n"))

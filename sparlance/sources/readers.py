@@ -80,13 +80,15 @@ def yaml_registry(spark: SparkSession, path: str, section: str, required: tuple[
         return registry(spark, yaml.safe_load(f)[section], required)
 
 
-def revenue_fixture(spark: SparkSession) -> dict[str, DataFrame]:
-    """A small shop with an order under one campaign twice: the fan-out trap of sums over a bridge table."""
+def rental_fixture(spark: SparkSession) -> dict[str, DataFrame]:
+    """Boats let by the day: a let is offered twice under one promotion, the trap of sums over a bridge table."""
+    harbours = [(10, "Old Pier", "west"), (11, "Sandbar", "west"), (12, "Lighthouse", "east")]
+    lets = [(501, 10, 310.0, 4, "2025-06-14"), (502, 11, 90.0, 1, "2025-07-02"), (503, 12, 745.5, 9, "2024-09-20"), (504, 10, 55.25, 1, "2024-05-01")]
     return {
-        "customers": spark.createDataFrame([(1, "Alice", "FR"), (2, "Bruno", "FR"), (3, "Cara", "US")], "id long, name string, country_code string"),
-        "orders": spark.createDataFrame([(1, 1, 100.0, "2024-01-05"), (2, 2, 25.0, "2024-01-06"), (3, 3, 200.0, "2024-02-01")], "id long, customer_id long, amount double, order_date string"),
-        "campaigns": spark.createDataFrame([(1, "Winter retention"), (2, "Spring launch")], "id long, name string"),
-        "order_promotions": spark.createDataFrame([(1, 1, "email"), (1, 1, "coupon"), (2, 1, "email"), (3, 2, "email")], "order_id long, campaign_id long, source_event string"),
+        "harbours": spark.createDataFrame(harbours, "id long, title string, coast string"),
+        "lets": spark.createDataFrame(lets, "id long, harbour_id long, fee double, days int, since string"),
+        "promotions": spark.createDataFrame([(1, "Early tide"), (2, "Late summer")], "id long, slogan string"),
+        "offers": spark.createDataFrame([(501, 1, "poster"), (501, 1, "radio"), (502, 1, "poster"), (503, 2, "radio")], "let_id long, promotion_id long, medium string"),
     }
 
 
