@@ -441,9 +441,10 @@ def leaked_references(spark: SparkSession, base: str) -> DataFrame:
     return D.leaked_reference(D.expand_turns(_records(spark, base))).select("record_key", F.col("turn_index").cast("long").alias("turn_index"))
 
 
-@query("SELECT result_key, CASE WHEN messages[-1].role IS DISTINCT FROM 'user' THEN 'prompt_not_ending_with_user' ELSE 'scorer_field_in_prompt' END AS violation FROM result_rows WHERE messages IS NOT NULL AND (messages[-1].role IS DISTINCT FROM 'user' OR len([m FOR m IN messages IF regexp_matches(m.content, 'schema_link_labels|gold_plan|gold_metric_dsl')]) > 0)")
+@query("SELECT record_key AS result_key, CASE WHEN messages[-1].role IS DISTINCT FROM 'user' THEN 'prompt_not_ending_with_user' ELSE 'scorer_field_in_prompt' END AS violation FROM prepared_records WHERE messages IS NOT NULL AND (messages[-1].role IS DISTINCT FROM 'user' OR len([m FOR m IN messages IF regexp_matches(m.content, 'schema_link_labels|gold_plan|gold_metric_dsl')]) > 0)")
 def prompt_violations(spark: SparkSession, base: str) -> DataFrame:
-    return D.prompt_violations(_results(spark, base).where("messages is not null")).select("result_key", "violation")
+    """Records end with an answer, so as prompts they break the rule."""
+    return D.prompt_violations(_records(spark, base).where("messages is not null").withColumnRenamed("record_key", "result_key")).select("result_key", "violation")
 
 
 _SIGNALS = """array_to_string(list_filter([CASE WHEN coalesce(len(gold_plan.projection_shape.aggregations), 0) > 0 OR len([e FOR e IN gold_plan.projection_shape.selected_expressions IF regexp_matches(lower(e), '(count|sum|avg|min|max)\\(')]) > 0 THEN 'aggregation' END,
@@ -507,6 +508,31 @@ def plan_labels(spark: SparkSession, base: str) -> DataFrame:
     return _results(spark, base).select("result_key", T.plan_labels(F.col("reference_sql")).alias("p")).select("result_key", "p.*")
 
 
+_STORED = "result_key, array_to_string(list_sort(gold_plan.relevant_tables), '|') AS tables, lower(array_to_string(gold_plan.join_path, '|')) AS join_path, gold_plan.query_skeleton['where'] AS has_where, gold_plan.query_skeleton['group_by'] AS has_group, gold_plan.projection_shape.selected_count AS selected_count"
+
+
+@query(f"SELECT {_STORED} FROM result_rows WHERE gold_plan.parseable")
+def plan_labels_checked(spark: SparkSession, base: str) -> DataFrame:
+    """Labels computed from the reference, or as stored where it is broken, against those stored with each row."""
+    rows = _results(spark, base).where("gold_plan.parseable").withColumn("p", T.plan_labels(F.col("reference_sql")))
+
+    def both(computed: Callable, stored: Callable | None = None) -> F.Column:
+        return F.when(F.col("p.parseable"), computed(F.col("p"))).otherwise((stored or computed)(F.col("gold_plan")))
+
+    return rows.select(
+        "result_key", both(lambda p: F.array_join(p["relevant_tables"], "|"), lambda p: F.array_join(F.array_sort(p["relevant_tables"]), "|")).alias("tables"), both(lambda p: F.lower(F.array_join(p["join_path"], "|"))).alias("join_path"),
+        both(lambda p: p["query_skeleton"]["where"]).alias("has_where"), both(lambda p: p["query_skeleton"]["group_by"]).alias("has_group"), both(lambda p: p["projection_shape"]["selected_count"]).alias("selected_count"),
+    )
+
+
+@query(r"SELECT result_key, order_sensitive OR regexp_matches(reference_sql, '(?i)\slimit\s+\d+[\s;]*(--.*)?$') AS order_sensitive FROM result_rows WHERE gold_plan.parseable")
+def order_sensitivity_checked(spark: SparkSession, base: str) -> DataFrame:
+    """Whether the reference sorts or limits, or as stored where it is broken, against what is stored with each row."""
+    rows = _results(spark, base).where("gold_plan.parseable")
+    whole = T.plan_labels(F.col("reference_sql"))["parseable"]
+    return rows.select("result_key", F.when(whole, T.order_sensitive(F.col("reference_sql"))).otherwise(F.col("order_sensitive") | F.coalesce(F.col("reference_sql").rlike(r"(?i)\slimit\s+\d+[\s;]*(--.*)?$"), F.lit(False))).alias("order_sensitive"))
+
+
 @query()
 def sql_literals(spark: SparkSession, base: str) -> DataFrame:
     return _results(spark, base).select("result_key", F.posexplode(T.literal_predicates(F.col("reference_sql"))).alias("value_index", "p")).select("result_key", "value_index", "p.*")
@@ -544,8 +570,38 @@ _CLASS = "CASE WHEN coalesce(value_execution_score, execution_score) = 1.0 THEN
 
 
 def _staged(spark: SparkSession, base: str) -> DataFrame:
-    """Results with the label that the stored flags alone give."""
-    return _results(spark, base).withColumn("error_primary", F.expr(_CLASS)).withColumn("error_secondary", F.array().cast("array<string>"))
+    """Classified results, with every label that compares statements shown as other: what SQL can tell from the stored flags."""
+    label = F.when(F.col("error_primary").isin("correct", "invalid_sql", "execution_error"), F.col("error_primary")).otherwise("other")
+    return C.classify(_results(spark, base)).withColumn("error_primary", label).withColumn("error_secondary", F.array().cast("array<string>"))
+
+
+#: Pairs of statements with flags, and the labels they must get: (case, reference, generated, value score, syntax valid, error, turn, primary, secondary).
+_CASES = (
+    ("right", "SELECT a FROM t", "SELECT b FROM u", 1.0, True, "", 0, "correct", ""),
+    ("flagged as invalid", "SELECT a FROM t", "SELECT a FROM t", 0.0, False, "", 0, "invalid_sql", ""),
+    ("not parsable", "SELECT a FROM t", "SELECT FROM", 0.0, True, "", 0, "invalid_sql", ""),
+    ("failed to run", "SELECT a FROM t", "SELECT a FROM t", 0.0, True, "no such column", 0, "execution_error", ""),
+    ("another table", "SELECT count(*) FROM t", "SELECT count(*) FROM u", 0.0, True, "", 0, "schema_link", ""),
+    ("another table in a later turn", "SELECT count(*) FROM t", "SELECT count(*) FROM u", 0.0, True, "", 2, "schema_link", "history_resolution"),
+    ("another condition of the join", "SELECT count(*) FROM t JOIN u ON t.a = u.a", "SELECT count(*) FROM t JOIN u ON t.b = u.b", 0.0, True, "", 0, "join_path", ""),
+    ("another aggregate", "SELECT max(a) FROM t", "SELECT min(a) FROM t", 0.0, True, "", 0, "aggregation", ""),
+    ("another grouping", "SELECT count(*) FROM t GROUP BY a", "SELECT count(*) FROM t GROUP BY b", 0.0, True, "", 0, "grain_fanout", ""),
+    ("duplicates dropped", "SELECT a FROM t", "SELECT DISTINCT a FROM t", 0.0, True, "", 0, "grain_fanout", ""),
+    ("another order", "SELECT a FROM t ORDER BY a", "SELECT a FROM t ORDER BY a DESC", 0.0, True, "", 0, "ordering_limit", ""),
+    ("another limit", "SELECT a FROM t LIMIT 3", "SELECT a FROM t LIMIT 5", 0.0, True, "", 1, "ordering_limit", "value_grounding,history_resolution"),
+    ("another value", "SELECT a FROM t WHERE b = 'x'", "SELECT a FROM t WHERE b = 'y'", 0.0, True, "", 0, "value_grounding", ""),
+    ("another column", "SELECT a FROM t", "SELECT b FROM t", 0.0, True, "", 0, "projection", ""),
+    ("columns in another order", "SELECT a, b FROM t", "SELECT b, a FROM t", 0.0, True, "", 3, "projection", ""),
+    ("nothing differs", "SELECT a FROM t", "select A from T", 0.0, True, "", 0, "other", ""),
+    ("reference not parsable", "SELECT", "SELECT a FROM t", 0.0, True, "", 0, "other", ""),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c[0]}', '{c[7]}', '{c[8]}')" for c in _CASES) + ") AS t(name, error_primary, error_secondary_text)")
+def failure_label_cases(spark: SparkSession, base: str) -> DataFrame:
+    """Labels of hand-made pairs, one for each rule."""
+    rows = spark.createDataFrame([c[:7] for c in _CASES], "name string, reference_sql string, generated_sql string, value_execution_score double, syntax_valid boolean, score_error string, turn_index int")
+    return C.classify(rows.withColumn("execution_score", F.lit(0.0))).select("name", "error_primary", "error_secondary_text")
 
 
 @query(f"SELECT error_primary, count(*) AS n_rows FROM (SELECT {_CLASS} AS error_primary FROM result_rows) GROUP BY 1")
@@ -680,10 +736,10 @@ _PAIR = f"""WITH s AS (SELECT *, {_CLASS} AS error_primary FROM result_rows), b
     c AS (SELECT * FROM s WHERE model_name = (SELECT max(model_name) FROM result_rows)), o AS (SELECT c.id, coalesce(c.value_execution_score, 0) = 1 AS cok, coalesce(b.value_execution_score, 0) = 1 AS bok, c.error_primary AS ce, b.error_primary AS be FROM c JOIN b USING (id))"""
 
 
-def _two_runs(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+def _two_runs(spark: SparkSession, base: str, labelled: bool = False) -> tuple[DataFrame, DataFrame]:
     """The runs of the last and of the first model by name."""
-    s = _staged(spark, base)
-    low, high = s.agg(F.min("model_name"), F.max("model_name")).first()
+    s = _staged(spark, base) if labelled else _results(spark, base).withColumn("error_primary", F.lit(""))
+    low, high = _results(spark, base).agg(F.min("model_name"), F.max("model_name")).first()
     return s.where(F.col("model_name") == high), s.where(F.col("model_name") == low)
 
 
@@ -694,7 +750,7 @@ def pairwise_fixed_regressed(spark: SparkSession, base: str) -> DataFrame:
 
 @query(f"{_PAIR} SELECT CASE WHEN cok THEN 'fixed' ELSE 'regressed' END AS outcome, CASE WHEN cok THEN be ELSE ce END AS error_primary, count(*) AS n_rows FROM o WHERE cok <> bok GROUP BY ALL")
 def pairwise_errors(spark: SparkSession, base: str) -> DataFrame:
-    return P.pairwise_errors(P.pairwise(*_two_runs(spark, base)))
+    return P.pairwise_errors(P.pairwise(*_two_runs(spark, base, labelled=True)))
 
 
 _IDS = "dialog_id, turn_index, database_id"
@@ -755,26 +811,43 @@ def manifest_problems(spark: SparkSession, base: str) -> DataFrame:
     return I.check_manifests(table(spark, base, "split_manifests"))
 
 
-@query("SELECT r.split_id, coalesce(split_role, '') AS split_role, count(*) AS n_rows FROM prepared_records r LEFT JOIN split_manifests m USING (split_id) WHERE r.split_id IS NOT NULL AND (m.role IS NULL OR m.role IS DISTINCT FROM lower(trim(split_role)) OR m.source_sha256 IS DISTINCT FROM r.split_source_sha256) GROUP BY ALL")
+@query("SELECT r.split_id, coalesce(split_role, '') AS split_role, count(*) AS n_rows FROM prepared_records r LEFT JOIN (SELECT * REPLACE (CASE WHEN role = 'train' THEN 'changed' ELSE source_sha256 END AS source_sha256) FROM split_manifests) m USING (split_id) WHERE r.split_id IS NOT NULL AND (m.role IS NULL OR m.role IS DISTINCT FROM lower(trim(split_role)) OR m.source_sha256 IS DISTINCT FROM r.split_source_sha256) GROUP BY ALL")
 def stamp_mismatches(spark: SparkSession, base: str) -> DataFrame:
-    return I.unstamped(_records(spark, base), table(spark, base, "split_manifests"))
+    """Against manifests whose training sources have changed since the records were stamped."""
+    manifests = table(spark, base, "split_manifests")
+    return I.unstamped(_records(spark, base), manifests.withColumn("source_sha256", F.when(F.col("role") == "train", "changed").otherwise(F.col("source_sha256"))))
+
 
+_ROLE = "lower(trim(split_role))"
 
-@query("SELECT DISTINCT split_row_id FROM prepared_records WHERE split_role = 'proxy_dev_seen' AND split_row_id IN (SELECT split_row_id FROM prepared_records WHERE split_role = 'clean_local_holdout')")
+
+@query(f"SELECT DISTINCT split_row_id FROM prepared_records WHERE {_ROLE} = 'proxy_dev_seen' AND split_row_id IN (SELECT split_row_id FROM prepared_records WHERE {_ROLE} = 'clean_local_holdout')")
 def split_disjointness(spark: SparkSession, base: str) -> DataFrame:
     r = _records(spark, base)
-    return I.shared_rows(r.where("split_role = 'proxy_dev_seen'"), r.where("split_role = 'clean_local_holdout'"), "split_row_id")
+    return I.shared_rows(r.where(f"{_ROLE} = 'proxy_dev_seen'"), r.where(f"{_ROLE} = 'clean_local_holdout'"), "split_row_id")
+
+
+@query(f"SELECT DISTINCT database_id FROM prepared_records WHERE {_ROLE} = 'train' AND database_id IN (SELECT database_id FROM prepared_records WHERE {_ROLE} <> 'train')")
+def split_shared_databases(spark: SparkSession, base: str) -> DataFrame:
+    r = _records(spark, base)
+    return I.shared_rows(r.where(f"{_ROLE} = 'train'"), r.where(f"{_ROLE} <> 'train'"), "database_id")
+
+
+def _span(spark: SparkSession, base: str) -> tuple[int, int]:
+    """The whole range of the records' keys."""
+    low, high = _records(spark, base).agg(F.min("record_key"), F.max("record_key")).first()
+    return (low, high + 1) if low is not None else (0, 0)
 
 
-@query("SELECT record_key, 'dialogs_dev:' || lpad(CAST(record_key AS VARCHAR), 4, '0') || ':' || coalesce(database_id, '') AS split_row_id FROM prepared_records WHERE record_key >= 100 AND record_key < 400 AND record_key < 10000")
+@query("SELECT record_key, 'dialogs_dev:' || lpad(CAST(record_key AS VARCHAR), 4, '0') || ':' || coalesce(database_id, '') AS split_row_id FROM prepared_records")
 def split_selection(spark: SparkSession, base: str) -> DataFrame:
-    return I.split_row_ids(I.select_range(_records(spark, base), "record_key", 100, 400), index="record_key", split="dev").select("record_key", "split_row_id")
+    return I.split_row_ids(I.select_range(_records(spark, base), "record_key", *_span(spark, base)), index="record_key", split="dev").select("record_key", "split_row_id")
 
 
-@query("""WITH s AS (SELECT record_key, database_id, assistant_turn_count, 'dialogs_dev:' || lpad(CAST(record_key AS VARCHAR), 4, '0') || ':' || coalesce(database_id, '') AS split_row_id FROM prepared_records WHERE record_key >= 100 AND record_key < 400)
+@query("""WITH s AS (SELECT record_key, database_id, assistant_turn_count, 'dialogs_dev:' || lpad(CAST(record_key AS VARCHAR), 4, '0') || ':' || coalesce(database_id, '') AS split_row_id FROM prepared_records)
     SELECT count(*) AS n_rows, count(DISTINCT database_id) AS n_databases, CAST(coalesce(sum(assistant_turn_count), 0) AS BIGINT) AS turn_count, sha256('[' || string_agg('"' || split_row_id || '"', ',' ORDER BY record_key) || ']') AS row_ids_sha256 FROM s""")
 def split_manifest(spark: SparkSession, base: str) -> DataFrame:
-    rows = I.split_row_ids(I.select_range(_records(spark, base), "record_key", 100, 400), index="record_key", split="dev")
+    rows = I.split_row_ids(I.select_range(_records(spark, base), "record_key", *_span(spark, base)), index="record_key", split="dev")
     return I.split_manifest(rows, "record_key")
 
 
@@ -790,7 +863,7 @@ _SQL = {
     "sql_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "sql_union": "SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "sql_except": "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0",
     "sql_derived_table": "SELECT s, count(*) AS n FROM (SELECT o_custkey, max(o_orderstatus) AS s FROM orders GROUP BY o_custkey) AS x GROUP BY s",
     "sql_scalar_subquery": "SELECT p_partkey FROM part WHERE p_size > (SELECT avg(p_size) FROM part)",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -25,6 +26,7 @@ def build_session(master: str = "local[*]", **conf: object) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master.startswith("local["):
         settings |= {"spark.driver.host": "127.0.0.1", "spark.driver.bindAddress": "127.0.0.1"}
@@ -60,15 +62,24 @@ def register(spark: SparkSession, base: str, names: list[str] | None = None) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Use the folder in spark.checkpoint.dir; a folder of our own only where none is set and all of Spark runs in one process.
+
+    On a cluster a folder of this machine would be lost to the others, so there the setting is needed.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sparlance-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no rerun."""
+    """Write df to the shared checkpoint folder and read it back, so that a lost executor costs no rerun.
+
+    Spark removes the files when the result is no longer used, with spark.cleaner.referenceTracking.cleanCheckpoints,
+    which build_session sets.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
