@@ -17,7 +17,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first())
 
 
-def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node that has a link to another node.
 
     The component is the smallest node id in it. Null ends and links of a node to itself
@@ -27,9 +27,7 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
     edges = links.select(a, b).where("a is not null and b is not null and a <> b")
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:  # ends: each round but the last lowers some node's smallest neighbour
         # large star: neighbours above u move to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -42,7 +40,5 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

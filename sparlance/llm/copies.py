@@ -2,8 +2,8 @@
 
 A statement's canonical form keeps quoted literals as they are; everything else loses case,
 white space, quoting characters and final semicolons, and a leading SELECT gets its items
-sorted. Groups of equal forms are counted by digest. Keys that hold more than a 256th of all
-rows are found exactly, from counts combined before the shuffle; they are aggregated in two
+sorted. Groups of equal forms are counted by digest. Keys of more than HOT rows are found
+exactly, from counts combined before the shuffle; they are aggregated in two
 levels over salts, all others in one shuffle.
 """
 
@@ -12,14 +12,16 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparlance.session import cut
 
-#: A key is hot from this share of all rows on, so there are at most 256 hot keys.
-HOT_SHARE = 256
-SALTS = 64
+#: A key of more rows than this is hot, whatever the number of rows in all; one salt for each HOT rows of it, SALTS at most.
+HOT = 50_000
+SALTS = 4096
+#: So many hot keys may be broadcast, 20 bytes each.
+FEW_HOT = 1 << 18
 
 #: A literal (closed or running to the end), a word, or one other character.
 _PART = re.compile(r"'[^']*(?:''[^']*)*(?:'|$)|\w+|[^\w']")
@@ -86,24 +88,26 @@ def canonical_digests(rows: DataFrame, *, key: str = "result_key", text: str = "
     return form.where("form is not null").select("key", F.expr("substring(unhex(sha2(form, 256)), 1, 16)").alias("digest"))
 
 
-def copy_groups(rows: DataFrame, *, key: str = "result_key", text: str = "reference_sql") -> DataFrame:
+def copy_groups(rows: DataFrame, *, key: str = "result_key", text: str = "reference_sql", hot: int = HOT) -> DataFrame:
     """(key, first_key, n_rows): for each row with a text the smallest key and the size of its group.
 
-    Null and empty texts (no letter or digit) are left out; an empty table gives no row. No group is
-    ever gathered in one task: hot groups are counted over salts and looked up in a table of at most
-    256 rows, others are at most a 256th of the rows.
+    Null and empty texts (no letter or digit) are left out; an empty table gives no row. Partial counts, combined before
+    they are shuffled, give each digest its exact number of rows and so its number of salts, 1 unless it is hot. Rows meet
+    their group by digest and salt: a hot group is aggregated over its salts first and then over these, and the
+    result is handed back salt by salt, so that no task has more than about `hot` rows of a group (or a 4096th of it).
     """
     keyed = cut(canonical_digests(rows, key=key, text=text))
-    total = keyed.count()
-    hot = cut(keyed.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > total).select("digest"))
-    salted = keyed.join(F.broadcast(hot), "digest").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    salts = F.least(F.ceil(F.col("n") / hot), F.lit(SALTS)).cast("int")
+    counted = keyed.groupBy("digest").agg(F.count("*").alias("n"))
+    wide = cut(counted.where(F.col("n") > hot).select("digest", salts.alias("salts")))
+    few = F.broadcast(wide) if wide.count() <= FEW_HOT else wide  # else a join whose skewed partitions are split
+    salted = keyed.join(few, "digest", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key"), F.col("salts")), F.lit(0).cast("long")))
     level = salted.groupBy("digest", "salt").agg(F.count("*").alias("n"), F.min("key").alias("low"))
-    hot_groups = level.groupBy("digest").agg(F.sum("n").alias("n_rows"), F.min("low").alias("first_key"))
-    hot_rows = keyed.join(F.broadcast(hot_groups), "digest").select("key", "first_key", "n_rows")
-    group = Window.partitionBy("digest")
-    rest = keyed.join(F.broadcast(hot), "digest", "left_anti")
-    rest_rows = rest.select("key", F.min("key").over(group).alias("first_key"), F.count("*").over(group).alias("n_rows"))
-    return hot_rows.unionByName(rest_rows)
+    one_level = level.join(wide.select("digest"), "digest", "left_anti").select("digest", "salt", F.col("low").alias("first_key"), F.col("n").alias("n_rows"))
+    both = level.join(wide, "digest")
+    two_level = both.groupBy("digest", "salts").agg(F.sum("n").alias("n_rows"), F.min("low").alias("first_key"))
+    handed = two_level.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long").alias("salt"), "first_key", "n_rows")
+    return salted.join(one_level.unionByName(handed), ["digest", "salt"]).select("key", "first_key", "n_rows")
 
 
 def hidden_copies(rows: DataFrame, *, key: str = "result_key", text: str = "reference_sql") -> DataFrame:

@@ -123,3 +123,16 @@ def test_nulls_empties_ties_and_empty_tables(spark):
     assert {tuple(r) for r in copies.hidden_copies(df).collect()} == {(6, 7)}
     assert copies.hidden_copies(rows(spark, [])).count() == 0
     assert copies.distinct_statements(rows(spark, [(1, None)])).count() == 0
+
+
+def test_hot_groups_are_salted_by_their_number_of_rows(spark, monkeypatch):
+    rows = [(i, "SELECT a FROM t" if i % 3 else f"SELECT {i % 5} FROM t") for i in range(300)]
+    df = spark.createDataFrame(rows, "result_key long, reference_sql string")
+    want = {}
+    for k, s in rows:
+        first, n = want.get(s, (k, 0))
+        want[s] = (min(first, k), n + 1)
+    for few in (copies.FEW_HOT, 0):
+        monkeypatch.setattr(copies, "FEW_HOT", few)
+        got = copies.copy_groups(df, hot=7).collect()
+        assert len(got) == 300 and {(r["key"], r["first_key"], r["n_rows"]) for r in got} == {(k, *want[s]) for k, s in rows}
