@@ -106,7 +106,7 @@ def copy_groups(rows: DataFrame, *, key: str = "result_key", text: str = "refere
     one_level = level.join(wide.select("digest"), "digest", "left_anti").select("digest", "salt", F.col("low").alias("first_key"), F.col("n").alias("n_rows"))
     both = level.join(wide, "digest")
     two_level = both.groupBy("digest", "salts").agg(F.sum("n").alias("n_rows"), F.min("low").alias("first_key"))
-    handed = two_level.select("digest", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).cast("long").alias("salt"), "first_key", "n_rows")
+    handed = two_level.select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), "first_key", "n_rows")
     return salted.join(one_level.unionByName(handed), ["digest", "salt"]).select("key", "first_key", "n_rows")
 
 
