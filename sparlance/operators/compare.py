@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from sparlance.plans import sqlinfo, sqltree
+from sparlance.plans.dialect import statement_of, to_spark
 
 TOLERANCE = 1e-6
 
@@ -28,10 +29,13 @@ class Score:
 
 
 def run_query(spark: SparkSession, sql: str) -> DataFrame:
-    """A query over the session's views. Anything but a single SELECT is refused before Spark sees it."""
-    statement = sqlinfo.repair_spacing(sql.strip().rstrip(";"))
+    """A query over the session's views: the statement of an answer, from SQLite's dialect.
+
+    Anything but a single SELECT is refused before Spark sees it.
+    """
+    statement = statement_of(sql)
     sqltree.parse(statement)
-    return spark.sql(statement)
+    return spark.sql(to_spark(statement))
 
 
 def _cell(v):

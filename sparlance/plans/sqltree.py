@@ -387,7 +387,7 @@ class _Reader:
             elif self.peek()[1] != ")":
                 call.children = self.list_of(self.expression)
             self.need(")")
-            return call
+            return self.over(call) if self.word() == "over" and self.peek(1) == ("op", "(") else call
         first = self.name()
         chain = [first]
         while self.take("."):
@@ -399,6 +399,24 @@ class _Reader:
             column.parts["quote"] = first.parts["quote"]
         return column
 
+    def over(self, call: Node) -> Node:
+        """A call over a window; its frame, if it has one, is kept as it is written."""
+        self.need("over", "(")
+        window = Node("window", "", [call])
+        if self.take("partition", "by"):
+            window.parts["partition"] = self.list_of(self.expression)
+            window.children += window.parts["partition"]  # type: ignore[operator]
+        if self.take("order", "by"):
+            window.parts["sorted"] = self.order_items()
+            window.children.append(window.parts["sorted"])  # type: ignore[arg-type]
+        frame = []
+        while self.peek()[1] not in (")", ""):
+            frame.append(self.peek()[1].lower())
+            self.at += 1
+        self.need(")")
+        window.value = " ".join(frame)
+        return window
+
     def case(self) -> Node:
         self.need("case")
         node = Node("case")
@@ -453,6 +471,10 @@ def text(n: Node) -> str:
         return f"{_named(table)}.{_named(n.value)}" if table else _named(n.value)
     if k == "call":
         return f"{n.value}({'distinct ' if n.parts.get('distinct') else ''}{', '.join(map(text, c))})"
+    if k == "window":
+        inside = [f"partition by {', '.join(map(text, n.parts['partition']))}"] if "partition" in n.parts else []  # type: ignore[arg-type]
+        inside += [text(n.parts["sorted"])] if "sorted" in n.parts else []  # type: ignore[arg-type]
+        return f"{text(c[0])} over ({' '.join([*inside, *([n.value] if n.value else [])])})"
     if k == "alias":
         return f"{text(c[0])} as {_named(n.value)}"
     if k in ("op", "compare"):

@@ -869,17 +869,30 @@ _SQL = {
 }
 
 
-def _surface(name: str, sql: str) -> None:
+#: In SQLite's dialect, each with the same in DuckDB's.
+_DIALECT = {
+    "sql_strftime": ("```sql\nSELECT strftime('%Y-%m', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY strftime('%Y-%m', o_orderdate);\n```", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1"),
+    "sql_window": ("SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer", None),
+    "sql_left_join": ("SELECT n.n_name, count(s.s_suppkey) AS n_suppliers FROM nation AS n LEFT JOIN supplier AS s ON n.n_nationkey == s.s_nationkey GROUP BY n.n_name", "SELECT n_name, count(s_suppkey) AS n_suppliers FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name"),
+    "sql_like_ignores_case": ("The query is: SELECT c_custkey FROM customer WHERE c_mktsegment LIKE 'build%' OR c_mktsegment > = \"MACHINERY\" ;", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'build%' OR c_mktsegment >= 'MACHINERY'"),
+    "sql_limit_offset": ("SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 5, 10", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 10 OFFSET 5"),
+    "sql_glob": ("SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB '*#1?'", "SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB '*#1?'"),
+}
+
+
+def _surface(name: str, sql: str, oracle: str | None = None) -> None:
     def run(spark: SparkSession, base: str) -> DataFrame:
         register(spark, base, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])
         return X.run_query(spark, sql)
 
     run.__name__ = name
-    query(sql)(run)
+    query(oracle or sql)(run)
 
 
 for _name, _text in _SQL.items():
     _surface(_name, _text)
+for _name, (_text, _other) in _DIALECT.items():
+    _surface(_name, _text, _other)
 
 
 def _comparison(spark: SparkSession, base: str, cases: list[tuple[str, str, str]]) -> DataFrame:
