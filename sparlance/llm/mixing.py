@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparlance.llm.tokens import token_counts
@@ -40,17 +40,29 @@ def source_quotas(available: DataFrame, targets: DataFrame) -> list[dict]:
 
 
 def _slots(spark, quotas: list[dict], block: int) -> DataFrame:
-    """(source, block, slot): which slot each block of a source takes."""
-    counts = {q["source"]: -(-q["quota"] // block) for q in quotas}
+    """(source, block, slot): the slot of each block of a source; there are as many slots as blocks, each taken once.
+
+    Golden-ratio points map the slots through the cumulative weights to sources, and a source's k-th slot takes
+    its k-th block. By the low discrepancy of the points a source gets a few slots more or fewer than it has blocks, in
+    the order of the logarithm of the slots: surplus slots, in order, take the blocks that are left, in order.
+    """
+    counts = {q["source"]: -(-q["quota"] // block) for q in quotas if q["quota"]}
     total = sum(counts.values())
-    low, case = 0.0, F.lit(None).cast("string")
+    bounds, low = [], 0
+    for source, n in sorted(counts.items()):
+        bounds.append((source, low / total, (low + n) / total if low + n < total else 2.0, n))
+        low += n
+    ranges = spark.createDataFrame(bounds, "source string, low double, high double, blocks long")  # one row for each listed source
     point = (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0
-    for source, n in sorted(counts.items(), reverse=True):
-        high = low + (n / total if total else 0)
-        case = F.when((point >= low) & (point < (high if source != min(counts) else 1.1)), F.lit(source)).otherwise(case)
-        low = high
-    drawn = spark.range(total).withColumnRenamed("id", "slot").withColumn("source", case).where("source is not null")
-    return ordered_rank(drawn, "source", "slot", out="block")
+    drawn = spark.range(total).withColumnRenamed("id", "slot").withColumn("point", point).join(F.broadcast(ranges), F.expr("point >= low and point < high")).select("source", "slot", "blocks")
+    ranked = cut(ordered_rank(drawn, "source", "slot", out="block"))
+    taken = ranked.where("block < blocks").select("source", "block", "slot")
+    got = ranked.groupBy("source").agg(F.count("*").alias("n"))
+    short = ranges.join(got, "source", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks")
+    few = lambda df, *order: df.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))  # noqa: E731  a few for each source
+    left = few(short.select("source", F.explode(F.sequence(F.col("n"), F.col("blocks") - 1)).alias("block")), "block", "source")
+    free = few(ranked.where("block >= blocks").select("slot"), "slot")
+    return taken.unionByName(left.join(free, "k").select("source", "block", "slot"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, block: int = BLOCK_TOKENS, seed: int = 7) -> tuple[DataFrame, list[dict]]:
@@ -72,11 +84,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str =
     each = sized.join(F.broadcast(wanted), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     shuffled = hashed_running(each.withColumn("order", F.xxhash64("epoch", key)), ["source", "epoch"], ["order", key], amount=F.col("n_tokens"), seed=seed, out="at")
     placed = shuffled.withColumn("at", F.col("at") + F.col("epoch") * F.col("tokens"))
-    drawn = placed.where(2 * F.col("at") + F.col("n_tokens") <= 2 * F.col("quota")).withColumn("block", F.floor(F.col("at") / block))
-    total = sum(-(-q["quota"] // block) for q in quotas)
-    # a source whose points fall short of its blocks by a few gets the even spacing for these
-    even = F.floor((F.col("block") + 0.5) * block / F.col("quota") * total)
-    joined = drawn.join(_slots(spark, quotas, block), ["source", "block"], "left").withColumn("slot", F.coalesce("slot", even))
+    drawn = placed.where(2 * F.col("at") + F.col("n_tokens") <= 2 * F.col("quota")).withColumn("block", F.least(F.floor(F.col("at") / block), F.ceil(F.col("quota") / block) - 1))
+    joined = drawn.join(_slots(spark, quotas, block), ["source", "block"])
     return joined.select("slot", "at", "source", "epoch", key, "n_tokens"), quotas
 
 

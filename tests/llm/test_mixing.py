@@ -53,6 +53,15 @@ def test_any_stretch_has_the_shares(spark):
         assert got["a"] / n == pytest.approx(0.5, abs=0.1) and got["c"] / n == pytest.approx(0.2, abs=0.1)
 
 
+def test_each_slot_is_taken_by_one_block(spark):
+    quotas = [{"source": f"s{i}", "quota": q} for i, q in enumerate((900, 1, 17, 330, 64, 128, 5000, 2))]
+    got = [tuple(r) for r in mixing._slots(spark, quotas, 8).collect()]
+    total = sum(-(-q["quota"] // 8) for q in quotas)
+    assert sorted(slot for _, _, slot in got) == list(range(total))
+    for q in quotas:
+        assert sorted(b for s, b, _ in got if s == q["source"]) == list(range(-(-q["quota"] // 8)))
+
+
 def test_nulls_ties_and_empty_tables(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "x y z", "a"), (3, "x y z", "a"), (4, "q" * 200_000, "a")]
     mixed, quotas = mixing.mix(docs(spark, rows), targets(spark, [("a", 1.0, 1), ("a", 0.0, 2), ("n", None, None), (None, 0.5, 1)]))
