@@ -19,6 +19,8 @@ from sparlance.operators.ranking import hashed_running, ordered_rank
 from sparlance.session import cut
 
 BLOCK_TOKENS = 16_384
+#: Cells of the unit interval by which points meet the ranges of sources.
+CELLS = 1024
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
@@ -53,8 +55,9 @@ def _slots(spark, quotas: list[dict], block: int) -> DataFrame:
         bounds.append((source, low / total, (low + n) / total if low + n < total else 2.0, n))
         low += n
     ranges = spark.createDataFrame(bounds, "source string, low double, high double, blocks long")  # one row for each listed source
-    point = (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0
-    drawn = spark.range(total).withColumnRenamed("id", "slot").withColumn("point", point).join(F.broadcast(ranges), F.expr("point >= low and point < high")).select("source", "slot", "blocks")
+    cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.floor(F.least("high", F.lit(1.0)) * CELLS))))  # at most CELLS and two for each source
+    drawn = spark.range(total).withColumnRenamed("id", "slot").withColumn("point", (F.col("slot") + 1) * F.lit(GOLDEN) % 1.0).withColumn("cell", F.floor(F.col("point") * CELLS))
+    drawn = drawn.join(F.broadcast(cells), "cell").where("point >= low and point < high").select("source", "slot", "blocks")
     ranked = cut(ordered_rank(drawn, "source", "slot", out="block"))
     taken = ranked.where("block < blocks").select("source", "block", "slot")
     got = ranked.groupBy("source").agg(F.count("*").alias("n"))
